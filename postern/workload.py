@@ -1,0 +1,25 @@
+"""Registry of the engine's queries and of their DuckDB equivalents."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of one priority in a price range, counted by status."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    keep = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 1000.0)
+    return orders.where(keep).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+def queries() -> dict[str, Query]:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
