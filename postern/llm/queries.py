@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postern.llm import chat_format, quality, sharding, simhash
+from postern.llm import chat_format, decontaminate, quality, sharding, simhash
 from postern.llm.common import table
 
 
@@ -38,16 +38,22 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
         "op2_sharding": op2_sharding,
         "op4_quality_rules": op4_quality_rules,
         "op5_simhash": op5_simhash,
+        "op7_decontaminate": op7_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": chat_format.ORACLE,
+        "op7_decontaminate": decontaminate.ORACLE,
     }
