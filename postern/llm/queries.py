@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postern.llm import chat_format, decontaminate, quality, sharding, simhash
+from postern.llm import chat_format, decontaminate, mixing, quality, sharding, simhash, url_filter
 from postern.llm.common import table
 
 
@@ -42,6 +42,14 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -49,6 +57,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op5_simhash": op5_simhash,
         "op7_decontaminate": op7_decontaminate,
+        "op9_url_filter": op9_url_filter,
+        "op10_mixing": op10_mixing,
     }
 
 
@@ -56,4 +66,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": chat_format.ORACLE,
         "op7_decontaminate": decontaminate.ORACLE,
+        "op9_url_filter": url_filter.ORACLE,
     }
