@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postern.llm import chat_format, decontaminate, mixing, quality, sharding, simhash, url_filter
+from postern.llm import chat_format, decontaminate, mixing, quality, sharding, simhash, token_store, url_filter
 from postern.llm.common import table
 
 
@@ -29,6 +30,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
         "op2_sharding": op2_sharding,
+        "op3_token_store": op3_token_store,
         "op4_quality_rules": op4_quality_rules,
         "op5_simhash": op5_simhash,
         "op7_decontaminate": op7_decontaminate,
