@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postern.llm import chat_format, decontaminate, mixing, quality, sharding, simhash, token_store, url_filter
+from postern.llm import chat_format, decontaminate, language_id, licenses, mixing, quality, sharding, simhash, token_store, url_filter
 from postern.llm.common import table
 
 
@@ -43,10 +43,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -62,7 +70,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_store": op3_token_store,
         "op4_quality_rules": op4_quality_rules,
         "op5_simhash": op5_simhash,
+        "op6_license_scan": op6_license_scan,
         "op7_decontaminate": op7_decontaminate,
+        "op8_language_id": op8_language_id,
         "op9_url_filter": op9_url_filter,
         "op10_mixing": op10_mixing,
     }
