@@ -165,12 +165,12 @@ class Table:
         out.write.format(self.sink).save(self.files.at(name))
         return name
 
-    def _append(self, upserts: DataFrame | None, removals: DataFrame | None, order: str | None = None, before: Manifest | None = None) -> str:
+    def _append(self, upserts: DataFrame | None, removals: DataFrame | None, order: str | None = None, before: Manifest | None = None, mark: tuple[str, int] | None = None) -> str:
         m = before or self.manifest()
         if len(m.deltas) >= REPLAY_LIMIT:
             raise CapacityError("too many deltas; compact the table")
         name = self._delta(upserts, removals, order, m)
-        after = self.commit(m, deltas=(*m.deltas, name))
+        after = self.commit(m, deltas=(*m.deltas, name), extra=m.extra | dict([mark] if mark else []))
         if len(after.deltas) >= COMPACT_AFTER:
             self.compact()
         return str(after.version)
@@ -197,17 +197,24 @@ class Table:
         self._checked(keys, m)
         return self._append(None, keys, before=m)
 
-    def upsert(self, df: DataFrame, order: str | None = None) -> str:
-        """Blind upsert; of rows that share a key the one with the greatest `order` stays."""
-        return self._append(df, None, order)
+    def upsert(self, df: DataFrame, order: str | None = None, mark: tuple[str, int] | None = None) -> str:
+        """Blind upsert; of rows that share a key the one with the greatest `order` stays.
+
+        mark (a source and a number) is committed with the rows, see marked().
+        """
+        return self._append(df, None, order, mark=mark)
+
+    def marked(self, source: str) -> int:
+        """The last number committed for a source, or -1: what a repeated batch finds of itself."""
+        return self.manifest().extra.get(source, -1)
 
     def remove(self, keys: DataFrame) -> str:
         """Blind delete; absent keys are fine."""
         return self._append(None, keys)
 
-    def apply_outbox(self, changes: DataFrame, op: str = "op", order: str = "version") -> str:
+    def apply_outbox(self, changes: DataFrame, op: str = "op", order: str = "version", mark: tuple[str, int] | None = None) -> str:
         """Upserts and removals in one commit; of each key the change with the greatest order stays."""
-        return self._append(changes.where(F.col(op) == "U"), changes.where(F.col(op) == "D"), order)
+        return self._append(changes.where(F.col(op) == "U"), changes.where(F.col(op) == "D"), order, mark=mark)
 
     # --- maintenance ---------------------------------------------------------------------------
 

@@ -1,25 +1,609 @@
-"""Registry of the engine's queries and of their DuckDB equivalents."""
+"""Registry of the engine's queries over the driver's tables, and of their DuckDB equivalents."""
 
 from __future__ import annotations
 
+import datetime as dt
+import math
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postern.operators import hydrate
+from postern.operators.layout import Layout, slot_counts
+from postern.operators.query import Query as StateQuery
+from postern.operators.query import find_df, range_df
+from postern.plans.predicate import P, translate
+from postern.sources.namespace import Namespace
+from postern.sources.schema import IndexDecl, StateSchema
+from postern.sources.table import Table
+from postern.streaming import projection, records, windows
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of one priority in a price range, counted by status."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    keep = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 1000.0)
-    return orders.where(keep).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+# --- states over the driver's tables -------------------------------------------------------------
+
+_STATES: dict[str, tuple[str, str | tuple[str, ...], dict[str, str | IndexDecl]]] = {
+    "order": ("orders", "o_orderkey", {"o_orderstatus": "hash", "o_orderpriority": "hash", "o_custkey": "range", "o_totalprice": "range", "o_orderdate": "range"}),
+    "line": ("lineitem", ("l_orderkey", "l_linenumber"), {"l_returnflag": "hash", "l_linestatus": "hash", "l_quantity": "range", "l_discount": "range", "l_shipdate": "range"}),
+    "customer": ("customer", "c_custkey", {"c_mktsegment": "hash", "c_nationkey": "hash", "c_acctbal": "range"}),
+    "part": ("part", "p_partkey", {"p_brand": "hash", "p_type": "hash", "p_size": "range", "p_retailprice": "range"}),
+    "supplier": ("supplier", "s_suppkey", {"s_nationkey": "hash", "s_acctbal": "range"}),
+    "event": ("events", "event_id", {"event_type": "hash", "user_id": "hash", "value": "range", "ts": "range"}),
+    "doc": ("documents", "doc_id", {"lang": "hash", "source": "hash", "n_chars": "range"}),
+}
+
+
+def space(spark: SparkSession, sf_dir: str) -> Namespace:
+    """All states bound to the tables of one scale; nothing is read before a terminal runs."""
+    ns = Namespace(spark, "tables")
+    for state, (name, key, kinds) in _STATES.items():
+        data = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        ns.bind(StateSchema.of(state, key, data, **kinds), data)
+    return ns
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _scratch(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="postern-")
+    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> StateQuery:
+    return space(spark, sf_dir).query("order")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folded conjunction, then the exact counts of another property among what it selects."""
+    p = P.o_totalprice
+    return _orders(spark, sf_dir).where(P.o_orderpriority == "1-URGENT", (p > 1000.0) & (p <= 400_000.0)).counts_df("o_orderstatus", 128)
+
+
+_query("SELECT o_orderstatus AS value, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 1000 AND o_totalprice <= 400000 GROUP BY 1")(flagship)
+
+
+# --- identifiers: exact, range, boolean ----------------------------------------------------------
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'")
+def find_exact_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_df(space(spark, sf_dir), "order", "o_orderpriority", "1-URGENT")
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_custkey = 77")
+def find_exact_range_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_df(space(spark, sf_dir), "order", "o_custkey", 77)
+
+
+def _range(name: str, low_in: bool, high_in: bool) -> None:
+    ends = f"o_totalprice {'>=' if low_in else '>'} 112946.26 AND o_totalprice {'<=' if high_in else '<'} 473274.17"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return range_df(space(spark, sf_dir), "order", "o_totalprice", 112946.26, 473274.17, low_in, high_in)
+
+    run.__name__ = name
+    _query(f"SELECT o_orderkey FROM orders WHERE {ends}")(run)
+
+
+for _name, _low, _high in (("range_closed", True, True), ("range_open", False, False), ("range_left_open", False, True), ("range_right_open", True, False)):
+    _range(_name, _low, _high)
+
+
+@_query("SELECT o_orderkey FROM orders WHERE false")
+def range_open_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_df(space(spark, sf_dir), "order", "o_custkey", 77, 77, True, False)
+
+
+def _compare(name: str, op: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = P.l_quantity
+        condition = {"<": p < 11.0, "<=": p <= 11.0, ">": p > 11.0, ">=": p >= 11.0}[op]
+        return space(spark, sf_dir).query("line").where(condition).ids_df()
+
+    run.__name__ = name
+    _query(f"SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity {op} 11")(run)
+
+
+for _name, _op in (("where_lt", "<"), ("where_le", "<="), ("where_gt", ">"), ("where_ge", ">=")):
+    _compare(_name, _op)
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000 AND o_custkey <= 700")
+def where_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).where((P.o_orderstatus == "F") & (P.o_totalprice > 200_000.0) & (P.o_custkey <= 700)).ids_df()
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_orderpriority = '5-LOW' OR o_custkey < 300")
+def where_or_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).where((P.o_orderpriority == "5-LOW") | (P.o_custkey < 300)).ids_df()
+
+
+@_query("SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'O' AND o_totalprice < 50000) OR (o_orderpriority = '2-HIGH' AND o_custkey >= 900)")
+def where_nested_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).where(((P.o_orderstatus == "O") & (P.o_totalprice < 50_000.0)) | ((P.o_orderpriority == "2-HIGH") & (P.o_custkey >= 900))).ids_df()
+
+
+@_query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal >= 0")
+def where_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return space(spark, sf_dir).query("customer").where(P.c_mktsegment == "BUILDING").where(P.c_acctbal >= 0.0).ids_df()
+
+
+@_query("SELECT p_partkey FROM part WHERE p_size IN (1, 7, 15, 23)")
+def where_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return space(spark, sf_dir).query("part").where_in("p_size", [23, 7, 1, 15]).ids_df()
+
+
+@_query("SELECT p_partkey FROM part WHERE p_size IN (7, 23)")
+def where_in_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return space(spark, sf_dir).query("part").where_in("p_size", [23, 7, 7, 23, 7]).ids_df()
+
+
+@_query("SELECT p_partkey FROM part WHERE false")
+def where_in_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return space(spark, sf_dir).query("part").where_in("p_size", []).ids_df()
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_custkey > 5 AND o_custkey > 9 AND o_custkey < 3")
+def contradiction_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).where((P.o_custkey > 5) & (P.o_custkey > 9) & (P.o_custkey < 3)).ids_df()
+
+
+@_query("SELECT o_orderkey FROM orders WHERE 100 < o_custkey AND 500 >= o_custkey")
+def reversed_operands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).where(100 < P.o_custkey, 500 >= P.o_custkey).ids_df()
+
+
+# --- operands outside of the column's own numbers -------------------------------------------------
+
+
+@_query("SELECT p_partkey FROM part WHERE p_size > 10.5")
+def integral_fractional_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return space(spark, sf_dir).query("part").where(P.p_size > 10.5).ids_df()
+
+
+@_query("SELECT p_partkey FROM part WHERE p_size <= 10.5 AND p_size >= 2.25")
+def integral_fractional_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return space(spark, sf_dir).query("part").where((P.p_size <= 10.5) & (P.p_size >= 2.25)).ids_df()
+
+
+@_query("SELECT p_partkey FROM part WHERE p_size = 10.5")
+def integral_fractional_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return space(spark, sf_dir).query("part").where(P.p_size == 10.5).ids_df()
+
+
+@_query("SELECT p_partkey FROM part WHERE p_size < 1e12")
+def integral_saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return space(spark, sf_dir).query("part").where(P.p_size < 1e12).ids_df()
+
+
+@_query("SELECT p_partkey FROM part WHERE p_size > CAST('-Infinity' AS DOUBLE)")
+def integral_infinity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return space(spark, sf_dir).query("part").where(P.p_size > -math.inf).ids_df()
+
+
+@_query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE false")
+def nan_operand_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return space(spark, sf_dir).query("line").where(P.l_discount >= math.nan).ids_df()
+
+
+@_query("SELECT o_orderkey FROM orders WHERE CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_totalprice END > 300000")
+def unmanaged_nan_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = _table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 7 == 0, F.lit(math.nan)).otherwise(F.col("o_totalprice")).alias("price"))
+    ns = Namespace(spark, "derived")
+    ns.bind(StateSchema.of("priced", "o_orderkey", data, price="range"), data)
+    return ns.query("priced").where(P.price > 300_000.0).ids_df()
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-07-01'")
+def timestamp_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = P.o_orderdate
+    return _orders(spark, sf_dir).where((d >= dt.datetime(1996, 1, 1)) & (d < dt.datetime(1996, 7, 1))).ids_df()
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_totalprice > 250000")
+def bool_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") > 250_000).alias("large"))
+    ns = Namespace(spark, "derived")
+    ns.bind(StateSchema.of("flagged", "o_orderkey", data, large="hash"), data)
+    return ns.query("flagged").where(P.large == True).ids_df()  # noqa: E712  a predicate
+
+
+@_query("SELECT o_orderkey FROM orders WHERE nullif(o_custkey % 5, 0) <= 2")
+def nullable_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = _table(spark, sf_dir, "orders").select("o_orderkey", F.nullif(F.col("o_custkey") % 5, F.lit(0).cast("long")).alias("rest"))
+    ns = Namespace(spark, "derived")
+    ns.bind(StateSchema.of("rests", "o_orderkey", data, rest="range"), data)
+    return ns.query("rests").where(P.rest <= 2).ids_df()
+
+
+@_query("SELECT p_partkey FROM part WHERE CAST(p_retailprice AS DECIMAL(12,2)) > 950.125")
+def decimal_sub_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from decimal import Decimal
+
+    data = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").cast("decimal(12,2)").alias("price"))
+    ns = Namespace(spark, "derived")
+    ns.bind(StateSchema.of("priced", "p_partkey", data, price="range"), data)
+    return ns.query("priced").where(P.price > Decimal("950.125")).ids_df()
+
+
+@_query("SELECT o_orderkey FROM orders WHERE CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END = 1")
+def enum_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("o_orderstatus")
+    data = _table(spark, sf_dir, "orders").select("o_orderkey", F.when(s == "O", 0).when(s == "F", 1).otherwise(2).cast("int").alias("status"))
+    ns = Namespace(spark, "derived")
+    ns.bind(StateSchema.of("statuses", "o_orderkey", data, status=IndexDecl("status", "hash", labels=(("open", 0), ("filled", 1), ("pending", 2)))), data)
+    return ns.query("statuses").where(P.status == "filled").ids_df()
+
+
+# --- collections ---------------------------------------------------------------------------------
+
+
+def _flagged(spark: SparkSession, sf_dir: str) -> Namespace:
+    flags = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("flags"), F.max("l_quantity").alias("most"))
+    ns = Namespace(spark, "derived")
+    ns.bind(StateSchema.of("flags", "l_orderkey", flags, flags="hash", most="range"), flags)
+    return ns
+
+
+@_query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R'")
+def membership_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flagged(spark, sf_dir).query("flags").where(P.flags.contains("R")).ids_df()
+
+
+@_query("SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING bool_or(l_returnflag = 'R') AND bool_or(l_returnflag = 'A')")
+def membership_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flagged(spark, sf_dir).query("flags").where(P.flags.contains("R") & P.flags.contains("A")).ids_df()
+
+
+@_query("SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING bool_or(l_returnflag = 'N') AND max(l_quantity) < 40")
+def membership_and_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flagged(spark, sf_dir).query("flags").where(P.flags.contains("N") & (P.most < 40.0)).ids_df()
+
+
+# --- facets --------------------------------------------------------------------------------------
+
+
+@_query("SELECT DISTINCT p_brand AS value FROM part ORDER BY 1 LIMIT 10")
+def facet_distinct_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return space(spark, sf_dir).query("part").distinct_df("p_brand", 10)
+
+
+@_query("SELECT DISTINCT p_brand AS value FROM part WHERE p_brand > 'Brand#22' AND p_size > 5 ORDER BY 1 LIMIT 10")
+def facet_distinct_page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return space(spark, sf_dir).query("part").where(P.p_size > 5).distinct_df("p_brand", 10, "Brand#22")
+
+
+@_query("SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
+def facet_topn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).counts_df("o_orderpriority", 3)
+
+
+@_query("SELECT o_custkey AS value, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25")
+def facet_topn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).where(P.o_orderstatus == "F").counts_df("o_custkey", 25)
+
+
+def _certificate(facet: str, owner: str, table: str, condition: str, top: int) -> str:
+    return f"""
+WITH d AS (SELECT {facet} AS v, {owner} AS owner, {condition} AS hit FROM {table}),
+raw AS (SELECT owner, v, count(*) AS raw FROM d WHERE v IS NOT NULL GROUP BY 1, 2),
+k AS (SELECT least(1024, greatest(1, CAST(ceil({top}.0 / count(DISTINCT owner)) AS BIGINT))) AS k FROM d),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY v) AS place FROM raw),
+bound AS (SELECT coalesce(sum(raw) FILTER (place > k), 0) AS u, count(*) FILTER (place > k) AS cut FROM ranked, k),
+named AS (SELECT DISTINCT v FROM ranked, k WHERE place <= k),
+counts AS (SELECT v, count(*) AS n FROM d WHERE hit AND v IN (SELECT v FROM named) GROUP BY 1),
+placed AS (SELECT *, row_number() OVER (ORDER BY n DESC, v) AS rank FROM counts),
+ends AS (SELECT max(n) FILTER (rank = {top}) AS last, coalesce(max(n) FILTER (rank > {top}), 0) AS beyond FROM placed)
+SELECT v AS value, n, (cut = 0 OR coalesce(last > u, false)) AS is_exact, CAST(greatest(u, beyond) AS BIGINT) AS maximum_omitted
+FROM placed, bound, ends WHERE rank <= {top}
+"""
+
+
+@_query(_certificate("event_type", "user_id % 4", "events", "true", 4))
+def facet_topn_approx_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return space(spark, sf_dir).query("event").approximate_counts_df("event_type", 4, F.col("user_id") % 4)
+
+
+@_query(_certificate("user_id", "event_id % 3", "events", "value > 20", 30))
+def facet_topn_approx_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return space(spark, sf_dir).query("event").where(P.value > 20.0).approximate_counts_df("user_id", 30, F.col("event_id") % 3)
+
+
+@_query(_certificate("event_type", "user_id % 2", "events", "true", 64))
+def facet_topn_approx_exhausted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return space(spark, sf_dir).query("event").approximate_counts_df("event_type", 64, F.col("user_id") % 2)
+
+
+@_query("SELECT min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders")
+def facet_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).min_max_df("o_totalprice")
+
+
+@_query("SELECT min(o_orderdate) AS low, max(o_orderdate) AS high FROM orders WHERE o_orderpriority = '3-MEDIUM'")
+def facet_minmax_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).where(P.o_orderpriority == "3-MEDIUM").min_max_df("o_orderdate")
+
+
+@_query("SELECT min(o_custkey) AS low, max(o_custkey) AS high FROM orders WHERE o_custkey < 0")
+def facet_minmax_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).where(P.o_custkey < 0).min_max_df("o_custkey")
+
+
+# --- pages ---------------------------------------------------------------------------------------
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY 1 LIMIT 50")
+def id_page_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).where(P.o_orderstatus == "F").id_page_df(50)
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey > 500 ORDER BY 1 LIMIT 50")
+def id_page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).where(P.o_orderstatus == "F").id_page_df(50, 500)
+
+
+@_query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND (l_orderkey > 100 OR (l_orderkey = 100 AND l_linenumber > 2)) GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 20")
+def id_page_composite_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return space(spark, sf_dir).query("line").where(P.l_returnflag == "R").id_page_df(20, (100, 2))
+
+
+# --- hydration -----------------------------------------------------------------------------------
+
+
+@_query(
+    "WITH ids AS (SELECT o_custkey FROM orders WHERE o_totalprice > 400000 GROUP BY 1) "
+    "SELECT o_custkey AS c_custkey, c_name, c_mktsegment, c_custkey IS NOT NULL AS found FROM ids LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON o_custkey = c_custkey"
+)
+def hydrate_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = _table(spark, sf_dir, "orders").where(F.col("o_totalprice") > 400_000).select(F.col("o_custkey").alias("c_custkey")).distinct()
+    known = _table(spark, sf_dir, "customer").where(F.col("c_custkey") % 3 != 0).select("c_custkey", "c_name", "c_mktsegment")
+    return hydrate.left(ids, known, ["c_custkey"])
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') AND o_orderpriority = '1-URGENT' AND o_custkey % 2 = 0")
+def hydrate_inner_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ns = space(spark, sf_dir)
+    query = ns.query("order").where(P.o_orderpriority == "1-URGENT")
+    later = ns.data("order").where(F.col("o_custkey") % 2 == 0)
+    return hydrate.recheck(query.ids_df(), later, ["o_orderkey"], query.plan).select("o_orderkey", "o_totalprice")
+
+
+# --- keyed tables --------------------------------------------------------------------------------
+
+
+def _latest_events(spark: SparkSession, sf_dir: str) -> tuple[Table, DataFrame]:
+    events = _table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    schema = StateSchema.of("latest", "user_id", events, event_type="hash", value="range")
+    return Table(spark, _scratch(spark), schema), events
+
+
+@_query("SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events GROUP BY 1")
+def upsert_last_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, events = _latest_events(spark, sf_dir)
+    table.upsert(events, "event_id")
+    return table.current()
+
+
+@_query("SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events GROUP BY 1 HAVING user_id % 3 <> 1")
+def remove_tombstone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, events = _latest_events(spark, sf_dir)
+    table.upsert(events, "event_id")
+    table.remove(events.where(F.col("user_id") % 3 == 1).select("user_id").distinct())
+    return table.current()
+
+
+@_query(
+    "SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events "
+    "GROUP BY 1 HAVING NOT (user_id % 3 = 1 AND max(event_id) FILTER (event_id >= 3000) IS NULL)"
+)
+def journal_replay_equals_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, events = _latest_events(spark, sf_dir)
+    table.upsert(events.where("event_id < 3000"), "event_id")
+    table.remove(events.where(F.col("user_id") % 3 == 1).select("user_id").distinct())
+    table.compact()
+    table.upsert(events.where("event_id >= 3000"), "event_id")
+    return table.current()
+
+
+@_query("SELECT doc_id, lang, source, CASE WHEN n_chars < 2000 THEN 'short' ELSE 'long' END AS band FROM documents WHERE n_chars < 2000")
+def schema_rebuild_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written before its band was indexed, rebuilt under the schema that indexes it."""
+    from postern.operators.schema_admin import rebuild
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.when(F.col("n_chars") < 2000, "short").otherwise("long").alias("band"))
+    base = _scratch(spark)
+    before = Namespace(spark, "docs", base)
+    before.register(StateSchema.of("doc", "doc_id", docs, lang="hash"))
+    before.writer("doc").upsert(docs)
+    after = Namespace(spark, "docs", base)
+    after.register(StateSchema.of("doc", "doc_id", docs, lang="hash", band="hash"), 2)
+    rebuild(after, "doc")
+    return after.query("doc").where(P.band == "short").scan_df()
+
+
+# --- event streams -------------------------------------------------------------------------------
+
+
+def _counters() -> dict[str, object]:
+    kind = F.col("event_type")
+    return {"created": kind == "signup", "updated": kind == "view", "deleted": kind == "error", "post_creates": kind == "purchase", "engagement": kind == "click"}
+
+
+def _buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.buckets(_table(spark, sf_dir, "events"), ["user_id"], windows.minute_of("ts"), _counters())
+
+
+_BUCKETS_SQL = """
+SELECT user_id, CAST(floor(epoch_us(ts) / 60000000) AS BIGINT) AS minute,
+       count(*) FILTER (event_type = 'signup') AS created, count(*) FILTER (event_type = 'view') AS updated, count(*) FILTER (event_type = 'error') AS deleted,
+       count(*) FILTER (event_type = 'purchase') AS post_creates, count(*) FILTER (event_type = 'click') AS engagement
+FROM events GROUP BY 1, 2
+"""
+
+#: 2024-01-25 12:00, in minutes.
+CUT = 28_436_400
+
+
+@_query(_BUCKETS_SQL)
+def minute_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _buckets(spark, sf_dir)
+
+
+def _trailing_sql(counters: tuple[str, ...]) -> str:
+    sums = ", ".join(f"CAST(sum(CASE WHEN minute > {CUT} - {n} THEN {c} ELSE 0 END) AS BIGINT) AS {c}_{w}" for c in counters for w, n in windows.WINDOWS.items())
+    return f"WITH b AS ({_BUCKETS_SQL}) SELECT user_id, {sums} FROM b WHERE minute > {CUT} - 43200 AND minute <= {CUT} GROUP BY 1"
+
+
+@_query(_trailing_sql(("created", "updated", "deleted", "post_creates")))
+def rolling_1_7_30(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.trailing(_buckets(spark, sf_dir), ["user_id"], CUT, ["created", "updated", "deleted", "post_creates"])
+
+
+@_query(
+    f"""WITH b AS ({_BUCKETS_SQL}),
+x AS (SELECT user_id, unnest([CASE WHEN created + updated + deleted > 0 THEN minute + 1440 END, CASE WHEN created + updated + deleted > 0 THEN minute + 10080 END,
+                              CASE WHEN created + updated + deleted + engagement > 0 THEN minute + 43200 END]) AS expiry FROM b)
+SELECT user_id, min(expiry) AS next_expiry FROM x WHERE expiry > {CUT} GROUP BY 1"""
+)
+def next_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = F.col("created") + F.col("updated") + F.col("deleted") > 0
+    return windows.next_expiry(_buckets(spark, sf_dir), ["user_id"], CUT, counted, F.col("engagement") > 0)
+
+
+@_query(f"WITH b AS ({_BUCKETS_SQL}) SELECT * FROM b WHERE NOT (minute <= {CUT} + 38880 - 43200 AND user_id % 2 = 0)")
+def retention_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets that stay when even users are projected up to three weeks after the cut and odd ones are not."""
+    upto = CUT + 38_880
+    bucketed = _buckets(spark, sf_dir)
+    cuts = bucketed.select("user_id").distinct().select("user_id", F.when(F.col("user_id") % 2 == 0, upto).otherwise(0).alias("cut"))
+    return windows.retained(bucketed, windows.expired(bucketed, cuts, ["user_id"], upto), ["user_id"])
+
+
+@_query("SELECT event_id, user_id, event_type, value FROM events")
+def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    twice = events.withColumn("arrival", F.col("event_id")).unionByName(events.withColumn("arrival", F.col("event_id") + 1_000_000_000))
+    return records.dedup(twice, ["event_id"], "arrival").drop("arrival")
+
+
+@_query(
+    "SELECT event_id, user_id, value, CASE WHEN value < m THEN 'IgnoredStale' WHEN value = m THEN 'ConflictingRevision' ELSE 'Applied' END AS fate "
+    "FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM events)"
+)
+def stale_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.reject_stale(_table(spark, sf_dir, "events").select("event_id", "user_id", "value"), ["user_id"], "value", "event_id")
+
+
+@_query(
+    "SELECT user_id, event_type, max(event_id) AS event_id, max_by(value, event_id) AS value, max_by(CASE WHEN event_id % 4 = 0 THEN 'delete' ELSE 'update' END, event_id) AS action "
+    "FROM events GROUP BY 1, 2 HAVING max(event_id) % 4 <> 0"
+)
+def latest_record_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value", F.when(F.col("event_id") % 4 == 0, "delete").otherwise("update").alias("action"))
+    return records.latest_records(events, ["user_id", "event_type"], "event_id")
+
+
+@_query("SELECT l_suppkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1")
+def distinct_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.pair_counts(_table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey")
+
+
+@_query("SELECT user_id, max(CAST(floor(epoch_us(ts) / 60000000) AS BIGINT)) AS last_activity FROM events GROUP BY 1")
+def last_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.last_activity(_table(spark, sf_dir, "events"), "user_id", windows.minute_of("ts"))
+
+
+@_query("SELECT (user_id + event_id) % 97 AS user_id, count(*) AS n FROM events WHERE event_type IN ('click', 'view') AND event_id % 5 <> 0 GROUP BY 1")
+def received_engagement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aimed = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.when(F.col("event_id") % 5 != 0, (F.col("user_id") + F.col("event_id")) % 97).alias("target"))
+    return records.received(aimed, ["click", "view"], "user_id", "target", "event_type").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@_query(
+    """WITH c AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 'suspended' ELSE 'active' END AS status FROM events WHERE event_type IN ('error', 'signup')),
+d AS (SELECT *, coalesce(lag(status) OVER (PARTITION BY user_id ORDER BY event_id), 'active') AS was FROM c),
+g AS (SELECT user_id, count(*) FILTER (status <> 'active') AS generation, max_by(status, event_id) AS status, max(event_id) FILTER (status <> 'active') AS since FROM d WHERE was <> status GROUP BY 1)
+SELECT e.event_id, e.user_id, coalesce(generation, 0) AS generation FROM (SELECT * FROM events WHERE event_type NOT IN ('error', 'signup')) e LEFT JOIN g USING (user_id)
+WHERE coalesce(status = 'active', true) AND coalesce(e.event_id > since, true)"""
+)
+def lifecycle_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    kind = F.col("event_type")
+    changes = events.where(kind.isin("error", "signup")).select("user_id", "event_id", F.when(kind == "error", "suspended").otherwise("active").alias("status"))
+    lifecycle = records.generations(changes, "user_id", "status", "event_id")
+    return records.purge(events.where(~kind.isin("error", "signup")), lifecycle, "user_id", "event_id").drop("event_type")
+
+
+@_query("SELECT user_id FROM events GROUP BY 1 HAVING max_by(event_type, event_id) = 'purchase'")
+def latest_status_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.latest_status(_table(spark, sf_dir, "events"), "user_id", "event_type", "event_id", "purchase")
+
+
+@_query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT DISTINCT o_custkey FROM orders ORDER BY 1 LIMIT 100)")
+def capped_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    allowed = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return records.admit(_table(spark, sf_dir, "customer").select("c_custkey", "c_name"), allowed, "c_custkey", 100)
+
+
+def _projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counters = ["created", "updated", "deleted", "post_creates", "engagement"]
+    bucketed = _buckets(spark, sf_dir)
+    counts = windows.trailing(bucketed, ["user_id"], CUT, counters)
+    active = bucketed.groupBy("user_id").agg(F.max("minute").alias("last_activity"))
+    return projection.complete(counts.join(active, "user_id"), "user_id")
+
+
+@_query(
+    f"""WITH b AS ({_BUCKETS_SQL}), a AS (SELECT user_id, max(minute) AS last_activity FROM b GROUP BY 1), t AS ({_trailing_sql(("created", "updated", "deleted", "post_creates", "engagement"))})
+SELECT user_id FROM t JOIN a USING (user_id)
+WHERE last_activity >= 0 AND created_7d >= 1 AND created_30d <= 40 AND updated_30d >= 2 AND deleted_1d <= 3 AND post_creates_30d BETWEEN 1 AND 50 AND engagement_30d >= 1"""
+)
+def range_17_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = _projection(spark, sf_dir)
+    ns = Namespace(spark, "accounts")
+    ns.bind(projection.schema(data, "user_id"), data)
+    asked = projection.between(last_activity=(0, None), created_7d=(1, None), created_30d=(None, 40), updated_30d=(2, None), deleted_1d=(None, 3), post_creates_30d=(1, 50), engagement_30d=(1, None))
+    return ns.query("account").where(*asked).ids_df()
+
+
+@_query("SELECT CAST(range % 16 AS INTEGER) AS owner, count(*) AS n FROM range(4096) GROUP BY 1")
+def slot_owner_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slot_counts(Layout.seed(16, 4096), spark.range(4096).select(F.col("id").cast("int").alias("slot")))
+
+
+@_query("SELECT o_custkey, o_orderkey FROM orders ORDER BY 1, 2")
+def external_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.external_sort(_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
+
+
+def explain_plan(spark: SparkSession, sf_dir: str) -> str:
+    """The normalised plan of the flagship's filter, for reading."""
+    ns = space(spark, sf_dir)
+    return repr(translate(ns.schema("order"), [P.o_orderpriority == "1-URGENT", P.o_totalprice > 1000.0]))
