@@ -1,0 +1,238 @@
+"""Domain-typed literals against brute force over a small domain, and the translator's table."""
+
+from __future__ import annotations
+
+import datetime as dt
+import enum
+import math
+import operator
+import uuid
+from decimal import Decimal
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import types as T
+
+from postern.errors import ArgumentRangeError, InvalidArgumentError, SchemaError, UnsupportedQueryError
+from postern.plans import nodes
+from postern.plans.literals import leaf
+from postern.plans.nodes import All, And, Empty, Exact, OneOf, Or, Range
+from postern.plans.predicate import P, translate
+from postern.sources.schema import IndexDecl, StateSchema
+
+STRUCT = T.StructType(
+    [
+        T.StructField("id", T.LongType()),
+        T.StructField("tiny", T.ByteType()),
+        T.StructField("age", T.ShortType()),
+        T.StructField("number", T.IntegerType()),
+        T.StructField("long", T.LongType()),
+        T.StructField("huge", T.DecimalType(20, 0)),
+        T.StructField("amount", T.DecimalType(10, 2)),
+        T.StructField("ratio", T.FloatType()),
+        T.StructField("double", T.DoubleType()),
+        T.StructField("city", T.StringType()),
+        T.StructField("letter", T.StringType()),
+        T.StructField("who", T.StringType()),
+        T.StructField("on", T.BooleanType()),
+        T.StructField("at", T.TimestampType()),
+        T.StructField("local", T.TimestampNTZType()),
+        T.StructField("tags", T.ArrayType(T.StringType())),
+        T.StructField("plain", T.StringType()),
+    ]
+)
+SCHEMA = StateSchema(
+    "s",
+    ("id",),
+    STRUCT,
+    (
+        IndexDecl("tiny", "range"),
+        IndexDecl("age", "range", codec="byte"),
+        IndexDecl("number", "range", labels=(("one", 1), ("two", 2))),
+        IndexDecl("long", "range"),
+        IndexDecl("huge", "range", codec="ulong"),
+        IndexDecl("amount", "range"),
+        IndexDecl("ratio", "range"),
+        IndexDecl("double", "range"),
+        IndexDecl("city", "hash"),
+        IndexDecl("letter", "range", codec="char"),
+        IndexDecl("who", "hash", codec="guid"),
+        IndexDecl("on", "hash"),
+        IndexDecl("at", "range"),
+        IndexDecl("local", "range"),
+        IndexDecl("tags", "hash"),
+    ),
+)
+OPS = {"==": operator.eq, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+
+
+def holds(plan: nodes.Plan, x) -> bool:
+    match plan:
+        case Empty():
+            return False
+        case All():
+            return True
+        case Exact(_, v):
+            return x == v
+        case OneOf(_, vs):
+            return x in vs
+        case Range():
+            return plan.holds(x)
+        case And(parts):
+            return all(holds(p, x) for p in parts)
+        case Or(parts):
+            return any(holds(p, x) for p in parts)
+
+
+numbers = st.one_of(
+    st.integers(-400, 400),
+    st.floats(allow_nan=True, allow_infinity=True),
+    st.floats(-130, 260),
+    st.decimals(-300, 300, places=3),
+    st.fractions(-300, 300, max_denominator=7),
+)
+
+
+@given(numbers, st.sampled_from(sorted(OPS)), st.sampled_from(["tiny", "age"]))
+def test_integral_operands_mean_what_they_say(v, op, name):
+    index = SCHEMA.indexes[name]
+    plan = leaf(index, op, v)
+    nan = isinstance(v, float) and math.isnan(v)
+    for x in range(index.codec.low, index.codec.high + 1):
+        assert holds(plan, x) == (not nan and OPS[op](Fraction(x), v if isinstance(v, float) and math.isinf(v) else Fraction(v)))
+
+
+@given(st.floats(allow_nan=False), st.sampled_from(sorted(OPS)), st.lists(st.floats(width=32, allow_nan=False), min_size=1, max_size=20))
+def test_float32_columns_compare_exactly(v, op, xs):
+    plan = leaf(SCHEMA.indexes["ratio"], op, v)
+    near = float(np.float32(v)) if abs(v) < 3e38 else 3e38
+    for x in [*xs, near, float(np.nextafter(np.float32(near), np.float32(np.inf))), float(np.nextafter(np.float32(near), np.float32(-np.inf)))]:
+        assert holds(plan, x) == OPS[op](x, v)
+
+
+@given(st.decimals(-(10**9), 10**9, places=4), st.sampled_from(sorted(OPS)), st.decimals(-(10**7), 10**7, places=2))
+def test_decimal_operands_of_finer_scale(v, op, x):
+    plan = leaf(SCHEMA.indexes["amount"], op, v)
+    for y in (x, v.quantize(Decimal("0.01")), v.quantize(Decimal("0.01")) + Decimal("0.01"), v.quantize(Decimal("0.01")) - Decimal("0.01")):
+        if abs(y) < 10**8:
+            assert holds(plan, y) == OPS[op](y, v)
+
+
+@given(st.lists(st.tuples(st.sampled_from(sorted(OPS)), st.integers(-20, 20)), min_size=1, max_size=6))
+def test_folding_keeps_the_meaning(leaves):
+    index = SCHEMA.indexes["number"]
+    plan = nodes.conjunction([leaf(index, op, v) for op, v in leaves])
+    assert isinstance(plan, Exact | Range | Empty)
+    for x in range(-25, 26):
+        assert holds(plan, x) == all(OPS[op](x, v) for op, v in leaves)
+
+
+def plan(*p):
+    return translate(SCHEMA, p)
+
+
+def test_saturation_and_empty():
+    assert plan(P.number < 1e12) == Range(SCHEMA.indexes["number"], high=2**31 - 1)
+    assert plan(P.number > 1e12) == Empty()
+    assert plan(P.age >= -5) == Range(SCHEMA.indexes["age"], low=0)
+    assert plan(P.number == 1.5) == Empty()
+    assert plan(P.number >= math.nan) == Empty()
+    assert plan(P.double > math.nan) == Empty()
+    assert plan((P.number > 5) & (P.number > 9) & (P.number < 3)) == Empty()
+    assert plan((P.number == 3) | ((P.number > 5) & (P.number < 5))) == Exact(SCHEMA.indexes["number"], 3)
+
+
+def test_operands_of_each_type():
+    assert plan(P.number == "two") == Exact(SCHEMA.indexes["number"], 2)
+    assert plan(P.number == enum.Enum("E", {"a": 7}).a) == Exact(SCHEMA.indexes["number"], 7)
+    assert plan(P.letter > "x") == Range(SCHEMA.indexes["letter"], low=ord("y"))
+    u = uuid.uuid4()
+    assert plan(P.who == u) == plan(P.who == str(u).upper())
+    at = dt.datetime(2024, 1, 1, 12, tzinfo=dt.timezone(dt.timedelta(hours=2)))
+    assert plan(P.at == at) == Exact(SCHEMA.indexes["at"], dt.datetime(2024, 1, 1, 10, tzinfo=dt.UTC))
+    assert plan(5 < P.number) == plan(P.number > 5)
+    assert plan(P.amount < 3) == Range(SCHEMA.indexes["amount"], high=Decimal("3.00"), high_in=False)
+    assert plan(P.huge <= 2**70) == Range(SCHEMA.indexes["huge"], high=2**64 - 1)
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda: P.number != 3,
+        lambda: ~(P.number == 3),
+        lambda: bool(P.number == 3),
+        lambda: P.number + 1 == 3,
+        lambda: P.number == P.long,
+        lambda: P.city.startswith("x"),
+        lambda: P.city.name == "x",
+        lambda: plan(P.city == None),  # noqa: E711
+        lambda: plan(P.city < "x"),
+        lambda: plan(P.city == 5),
+        lambda: plan(P.plain == "x"),
+        lambda: plan(P.on == 1),
+        lambda: plan(P.number == True),  # noqa: E712
+        lambda: plan(P.long == 1.0),
+        lambda: plan(P.double == "x"),
+        lambda: plan(P.amount == 1.5),
+        lambda: plan(P.tags == "x"),
+        lambda: plan(P.tags.contains(None)),
+        lambda: plan(P.city.contains("x")),
+        lambda: plan(P.tags.isin(["x"])),
+        lambda: (P.number == 1) & 5,
+    ],
+)
+def test_what_is_outside_is_refused(make):
+    with pytest.raises(UnsupportedQueryError):
+        make()
+
+
+def test_where_in_rules():
+    assert plan(P.number.isin([5, 1, 5, 2.5])) == OneOf(SCHEMA.indexes["number"], (1, 5))
+    assert plan(P.number.isin([])) == Empty()
+    assert plan(P.number.isin([1, 2, 3]) & (P.number >= 3)) == Exact(SCHEMA.indexes["number"], 3)
+    with pytest.raises(ArgumentRangeError):
+        P.number.isin(range(65))
+    with pytest.raises(InvalidArgumentError):
+        P.number.isin([1, None])
+
+
+def test_two_members_are_no_contradiction():
+    both = plan(P.tags.contains("a") & P.tags.contains("b") & P.tags.contains("a"))
+    assert isinstance(both, And) and len(both.parts) == 2
+
+
+def test_limits_of_plans():
+    wide = P.number == 0
+    for i in range(1, 128):
+        wide = wide | (P.number == i)
+    assert isinstance(plan(wide), Or)
+    with pytest.raises(UnsupportedQueryError):
+        plan(wide | (P.number == 128))
+
+
+@pytest.mark.parametrize(
+    "decls",
+    [
+        (IndexDecl("city"), IndexDecl("plain", name="city")),
+        (IndexDecl("tags", "range"),),
+        (IndexDecl("on", "range"),),
+        (IndexDecl("who", "range", codec="guid"),),
+        (IndexDecl("absent"),),
+        (IndexDecl("city", "tree"),),
+        (IndexDecl("city", codec="int"),),
+    ],
+)
+def test_invalid_declarations(decls):
+    with pytest.raises(SchemaError):
+        StateSchema("s", ("id",), STRUCT, decls)
+
+
+def test_fingerprints():
+    a = StateSchema("s", ("id",), STRUCT, (IndexDecl("city"), IndexDecl("number", "range")))
+    b = StateSchema("s", ("id",), STRUCT, (IndexDecl("number", "range"), IndexDecl("city")))
+    c = StateSchema("s", ("id",), STRUCT, (IndexDecl("number", "hash"), IndexDecl("city")))
+    assert a.fingerprint == b.fingerprint != c.fingerprint
+    assert len({a.fingerprint, c.fingerprint, SCHEMA.fingerprint}) == 3
