@@ -20,10 +20,14 @@ def deduplicated(events: DataFrame, ts: str, identity: list[str], late: str = "1
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(identity)
 
 
-def minute_buckets(events: DataFrame, ts: str, key: list[str], counters: dict[str, object], late: str = "10 minutes") -> DataFrame:
-    """Closed minutes: key, minute and counts, emitted once no event of the minute can come any more."""
+def minute_buckets(events: DataFrame, ts: str, key: list[str], counters: dict[str, object], late: str | None = "10 minutes") -> DataFrame:
+    """Closed minutes: key, minute and counts, emitted once no event of the minute can come any more.
+
+    late is None for events that have a watermark already.
+    """
     counted = [F.sum(F.when(condition, 1).otherwise(0)).alias(name) for name, condition in counters.items()]
-    grouped = events.withWatermark(ts, late).groupBy(*key, F.window(ts, "1 minute").alias("w")).agg(*counted)
+    marked = events if late is None else events.withWatermark(ts, late)
+    grouped = marked.groupBy(*key, F.window(ts, "1 minute").alias("w")).agg(*counted)
     minute = F.floor(F.unix_micros(F.col("w.start").cast("timestamp")) / 60_000_000).cast("long")
     return grouped.select(*key, minute.alias("minute"), *counters)
 
