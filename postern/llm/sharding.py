@@ -72,6 +72,9 @@ def cuts(sizes: list[int], shards: int) -> list[int]:
     out, at = [], 0
     for left in range(shards, 1, -1):
         goal = (light[n] - light[at]) / max(1, left - (ahead[n] - ahead[at]))
+        stop = bisect_left(ahead, ahead[at] + 1) - 1 if ahead[n] > ahead[at] else n
+        if stop > at:  # whole shards up to the next heavy atom
+            goal = (light[stop] - light[at]) / max(1, round((light[stop] - light[at]) / goal))
         first = max(at + 1, bisect_left(descending, -(left - 1)))
         last = max(first, min(bisect_right(prefix, prefix[at] + capacity) - 1, n - left + 1))
         near = bisect_left(prefix, prefix[at] + goal)

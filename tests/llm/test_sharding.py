@@ -1,0 +1,66 @@
+from __future__ import annotations
+
+import random
+import zlib
+from collections import defaultdict
+from itertools import accumulate
+
+from postern.llm import sharding
+
+from tests.llm.conftest import EDGES
+
+
+def best(sizes, k):
+    """Minimax by dynamic programming."""
+    p = [0, *accumulate(sizes)]
+    row = [0] + [float("inf")] * len(sizes)
+    for _ in range(k):
+        row = [min(max(row[i], p[j] - p[i]) for i in range(j + 1)) for j in range(len(sizes) + 1)]
+    return row[-1]
+
+
+def test_cuts_reach_the_minimax():
+    rng = random.Random(2)
+    for _ in range(200):
+        n, k = rng.randint(1, 30), rng.randint(1, 7)
+        sizes = [rng.choice([1, 2, 3, 9, 60]) for _ in range(n)]
+        assert sharding.smallest_capacity(sizes, k) == best(sizes, k)
+        ends = [0, *sharding.cuts(sizes, k), n]
+        parts = [sum(sizes[a:b]) for a, b in zip(ends, ends[1:])]
+        assert all(a < b for a, b in zip(ends, ends[1:])) and len(parts) == min(n, k)
+        assert n <= k or max(parts) == best(sizes, k)
+
+
+def test_one_huge_group_leaves_the_rest_even():
+    sizes = [10] * 400 + [4000] + [10] * 400
+    ends = [0, *sharding.cuts(sizes, 10), len(sizes)]
+    parts = sorted(sum(sizes[a:b]) for a, b in zip(ends, ends[1:]))
+    assert parts[-1] <= 4500 and parts[0] >= 790
+
+
+def test_shards(spark, docs):
+    got = sharding.assign(docs, 5).collect()
+    assert len(got) == len(EDGES)
+    want = sorted(((r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in EDGES), key=repr)
+    assert sorted(((r.doc_id, r["size"], r.text_crc32) for r in got), key=repr) == want
+    slots, homes = defaultdict(list), defaultdict(set)
+    for r in got:
+        slots[r.shard].append(r.slot)
+        homes[r.text_crc32, r["size"]].add(r.shard)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) == set(range(5))
+    assert all(len(h) == 1 for h in homes.values()) and {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
+
+
+def test_even_sizes(spark):
+    df = spark.range(4000).selectExpr("id AS doc_id", "repeat(cast(xxhash64(id) AS string), 1 + cast(id % 7 AS int)) AS text")
+    sums = defaultdict(int)
+    for r in sharding.assign(df).collect():
+        sums[r.shard] += r["size"]
+    mean = sum(sums.values()) / 40
+    assert len(sums) == 40 and max(sums.values()) < 1.05 * mean and min(sums.values()) > 0.95 * mean
+
+
+def test_repeatable_and_empty(spark, docs, none):
+    key = lambda df: sorted(map(repr, df.collect()))
+    assert key(sharding.assign(docs, 5)) == key(sharding.assign(docs.repartition(7), 5))
+    assert sharding.assign(none).count() == 0
