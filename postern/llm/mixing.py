@@ -152,7 +152,8 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
 def mix_stage(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """docs with every row as often as the mix takes it."""
     _, sources = plan(docs, share, most, weights)
-    numbers = sources.select(F.col("source").alias("__s"), "whole", "tops")
-    placed = docs.select("*", *_measured(docs)).join(numbers, F.col("source").eqNullSafe(F.col("__s")))
-    times = placed.withColumn("__n", _copies(F.col("__size"), F.col("__hash"))).where("__n > 0")
-    return times.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    numbers = sources.select(F.col("source").alias("s"), "whole", "tops")
+    # The row travels as one value, so its columns can have any names.
+    placed = docs.select(F.struct("*").alias("row"), "source", *_measured(docs)).join(numbers, F.col("source").eqNullSafe(F.col("s")))
+    times = placed.select("row", _copies(F.col("__size"), F.col("__hash")).alias("n")).where("n > 0")
+    return times.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")

@@ -38,7 +38,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from postern.llm.common import written
@@ -298,20 +297,21 @@ def dedup_stage(docs: DataFrame, width: int = 3) -> DataFrame:
     Of rows that repeat this doc_id one stays.  Of a component whose ids are all null one row stays.
     """
     members = _classes(docs, width, "doc_id", "text")
-    keep = members.where("component_id = doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == F.col("__id"), "left_semi")
+    keep = members.where("component_id = doc_id").select(F.col("doc_id").alias("keep")).distinct()
+    # The row travels as one value, so its columns can have any names.
+    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
     one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = kept.withColumn("__n", one).where("__n = 1").select(*docs.columns)
-    nameless = docs.where("doc_id IS NULL")
+    kept = rows.join(keep, F.col("doc_id") == F.col("keep"), "left_semi").select("row", one.alias("n")).where("n = 1").select("row.*")
+    nameless = rows.where("doc_id IS NULL")
     if not nameless.limit(1).count():
         return kept
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
-            prints = np.fromiter((fingerprint(x.as_py() or b"", width) for x in texts), np.uint64, batch.num_rows).view(np.int64)
-            yield batch.append_column("__fp", pa.array(prints))
+            prints = np.fromiter((fingerprint(x.as_py() or b"", width) for x in batch.column(0).cast(pa.binary())), np.uint64, batch.num_rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(prints)], ["row", "print"])
 
-    rows = nameless.mapInArrow(marked, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
-    alone = members.where("component_id IS NULL").select(F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
-    return kept.unionByName(rows.join(alone, "__fp").dropDuplicates(["__root"]).select(*docs.columns))
+    struct = nameless.select("row").schema.add("print", "long")
+    alone = members.where("component_id IS NULL").select("fp", "root").distinct()
+    left = nameless.select(F.col("text").cast("string"), "row").mapInArrow(marked, struct).join(alone, F.col("print") == F.col("fp")).dropDuplicates(["root"])
+    return kept.unionByName(left.select("row.*"))
