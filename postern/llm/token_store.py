@@ -16,7 +16,7 @@ u32, crc32 of the code u32, crc32 of the rest u32; then per document a byte that
 null, its id i64 and its number of ids u32; then per block of `BLOCK` ids the bit at which it
 starts (u64); then the codes, most significant bit first, in big-endian words of 32 bits.
 
-Reading decodes the blocks of a segment side by side: one table look-up of `LIMIT` bits gives each
+Reading decodes the blocks of a segment side by side: one table look-up of as many bits as the longest code has gives each
 block its next id and the bits to go on by.
 
 Null and empty texts have the end id only.  Repeated rows are documents like others.  An empty
@@ -25,6 +25,7 @@ table gives no rows.  Other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from postern.llm.common import remove, scratch, written
 
 END_ID = 2
-LIMIT = 20
+LIMIT = 16
 BLOCK = 256
 SEGMENT = 1 << 18
 #: Characters of text that are cut into pieces together.
@@ -56,15 +57,22 @@ _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 _PIECES = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 
 
+#: What texts of words with single blanks and line feeds between them do not hold; they are cut without the pattern.
+_UNUSUAL = ("  ", " \n", "\n ", "\n\n", *"\t\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
+
+
 class Encoder:
     """Encodes texts by the tokenizers library, each distinct piece once while it is remembered.
 
-    Pieces are encoded many at a time, joined by line feeds, which the tokenizer keeps apart; the
-    numbers of bytes that the tokens stand for tell where each piece ends.  Texts that hold an
+    A piece is a word, with or without the blank before it, or a run of white space; keys tell them
+    apart.  Pieces are
+    encoded many at a time, joined by line feeds, which the tokenizer keeps apart; the numbers of
+    bytes that the tokens stand for tell where each piece ends.  A comma or full stop behind a letter
+    is a piece of its own to the tokenizer, so words are remembered without it.  Texts that hold an
     added token's string, and vocabularies that are not byte-level BPE, are encoded as a whole.
     """
 
-    REMEMBERED = 300_000
+    REMEMBERED = 800_000
     LONGEST = 200
 
     def __init__(self, path: str) -> None:
@@ -80,57 +88,117 @@ class Encoder:
         if self.bytewise:
             self.spans = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.size)], np.int64)
             self.feed = self._alone("\n")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+            self.bytewise = len(self.feed) == self.kind.itemsize
+            self.marks = {m: self._alone(m) for m in ",."}
+            # The vocabulary writes bytes as characters.  One that no longer token holds sets words apart
+            # within the model; of those, a byte that UTF-8 never has.
+            printed = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]
+            rest = iter(range(256, 512))
+            letters = {c: chr(c) if c in printed else chr(next(rest)) for c in range(256)}
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+            apart = next((c for c in (0xC0, 0xC1, *range(0xF5, 0x100)) if not any(letters[c] in t for t in vocabulary if len(t) > 1)), None)
+            self.apart = None if apart is None else vocabulary.get(letters[apart])
+            self.as_letters = str.maketrans({chr(c): x for c, x in letters.items()} | ({} if self.apart is None else {"\0": letters[apart]}))
+        #: Ids of a blank and a word, by the word; of other pieces, by a line feed and the piece, without the line feed's.
+        self.known: dict[str, bytes] = {}
 
     def _alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        out, joined = {}, []
-        for p in pieces:
-            if (known := self.old.get(p)) is not None:
-                out[p] = known
-            elif p.isspace() or len(p) > self.LONGEST or len(self.feed) != self.kind.itemsize:
-                out[p] = self._alone(p)
+    def _learn(self, new: set[str]) -> None:
+        known, marked, words = self.known, [], set()
+        for p in new:
+            if p[-1] in self.marks and len(p) > 1 and p[-2] < "\u0250" and p[-2].isalpha():
+                marked.append(p)
+                if p[:-1] not in known:
+                    words.add(p[:-1])
+            else:
+                words.add(p)
+        joined, plain = [], []
+        for p in words:
+            if len(p) > self.LONGEST or p.isspace():
+                known[p] = self._alone(p[1:] if p[0] == "\n" else " " + p)
+            elif self.apart is not None and max(p) < "\u0250" and (p[1:] if p[0] == "\n" else p).isalpha():
+                plain.append(p)
             else:
                 joined.append(p)
-        groups = [joined[i : i + 2000] for i in range(0, len(joined), 2000)]
-        texts = ["\n".join(g) for g in groups]
-        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(encoded.ids, self.kind)
+        w = self.kind.itemsize
+        # Letters, with or without a blank before them, are one piece to the pattern, so they can go to the model as they are.
+        for i in range(0, len(plain), 500):
+            group = plain[i : i + 500]
+            text = "\0".join([p[1:] if p[0] == "\n" else " " + p for p in group]).encode().decode("latin-1").translate(self.as_letters)
+            ids = np.array([t.id for t in self.tokenizer.model.tokenize(text)], self.kind)
+            stops = (np.append(np.flatnonzero(ids == self.apart), len(ids)) * w).tolist()
+            coded = ids.tobytes()
+            known.update(zip(group, [coded[a:b] for a, b in zip([0, *(x + w for x in stops)], stops, strict=False)], strict=True))
+        for i in range(0, len(joined), 2000):
+            group = joined[i : i + 2000]
+            # Line feeds set pieces apart: after one that the key has, or before a word's blank.
+            text = "".join([p if p[0] == "\n" else "\n " + p for p in group])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
             ends = np.cumsum(self.spans[ids])
-            stops = np.cumsum([len(p.encode()) + 1 for p in group]) - 1
-            last = np.searchsorted(ends, stops)
-            if not np.array_equal(ends[last], stops):
-                out |= {p: self._alone(p) for p in group}
+            raw = np.frombuffer(text.encode(), np.uint8)
+            feeds = np.flatnonzero(raw == 10)
+            starts = np.searchsorted(ends, feeds + 1)
+            if len(feeds) != len(group) or not np.array_equal(ends[starts], feeds + 1):
+                known.update((p, self._alone(p[1:] if p[0] == "\n" else " " + p)) for p in group)
                 continue
-            raw, w = ids.tobytes(), self.kind.itemsize
-            begin = 0
-            for p, k in zip(group, last.tolist(), strict=True):
-                out[p] = raw[begin * w : (k + 1) * w]
-                begin = k + 2
-        return out
+            coded, begin = ids.tobytes(), ((starts + 1) * w).tolist()
+            known.update(zip(group, [coded[i:j] for i, j in zip(begin, [*(starts[1:] * w).tolist(), len(coded)], strict=True)], strict=True))
+        for p in marked:
+            known[p] = known[p[:-1]] + self.marks[p[-1]]
+
+    def _pieces(self, text: str) -> list[str]:
+        """Keys of the text's pieces."""
+        if not any(x in text for x in _UNUSUAL) and text[0] not in " \n" and text[-1] not in " \n":
+            out = text.split(" ")
+            if "\n" in text:
+                out = text.replace("\n", " \n\n \n").split(" ")
+            out[0] = "\n" + out[0]
+            return out
+        return [p[1:] if len(p) > 1 and p[0] == " " and not p[1].isspace() else "\n" + p for p in _PIECES.findall(text)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian numbers of self.kind."""
-        whole = [i for i, t in enumerate(texts) if not self.bytewise or any(a in t for a in self.added)]
-        apart = set(whole)
-        cut = [[] if i in apart else _PIECES.findall(t) for i, t in enumerate(texts)]
-        young = self.young
-        new = {p for pieces in cut for p in pieces if p not in young}
-        once = {}
+        # Millions of strings and no cycles: the collector would only look at them again and again.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        get, waiting, new = self.known.get, [], set()
+        for i, t in enumerate(texts):
+            if not self.bytewise or any(a in t for a in self.added):
+                out[i] = self._alone(t)
+            elif t:
+                pieces = self._pieces(t)
+                found = list(map(get, pieces))
+                if None in found:
+                    gaps = [k for k, b in enumerate(found) if b is None]
+                    new.update([pieces[k] for k in gaps])
+                    waiting.append((i, found, gaps, [pieces[k] for k in gaps]))
+                else:
+                    out[i] = b"".join(found)
         if new:
-            learned = self._learn(new)
-            once = {p: b for p, b in learned.items() if len(p) > self.LONGEST}
-            young.update(learned)
-        out = [b"".join([young[p] for p in pieces]) for pieces in cut]
-        for i in whole:
-            out[i] = self._alone(texts[i])
-        for p in once:
-            del young[p]
-        if len(young) > self.REMEMBERED:
-            self.young, self.old = {}, young
+            self._learn(new)
+            known = self.known
+            for i, found, gaps, pieces in waiting:
+                for k, p in zip(gaps, pieces, strict=True):
+                    found[k] = known[p]
+                out[i] = b"".join(found)
+            for p in new:
+                if len(p) > self.LONGEST:
+                    known.pop(p, None)
+                    known.pop(p[:-1], None)
+            if len(known) > self.REMEMBERED:
+                # Pieces learned lately go; the first to come, mostly the frequent ones, stay.
+                for p in list(known)[self.REMEMBERED // 2 :]:
+                    del known[p]
         return out
 
 
@@ -141,7 +209,8 @@ def encoder(path: str) -> Encoder:
 
 
 def segments(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """Rows part, seq, before (ids of the part before them), n_tokens, nulls, doc_ids, counts, ids (binary)."""
+    """Rows part, seq, before (ids of the part before them), n_tokens, nulls, doc_ids, counts, ids, used and
+    times (the distinct ids and how often each occurs); all but the first four are binary."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
@@ -166,6 +235,8 @@ def segments(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                 "doc_ids": np.array([n or 0 for n in names], "<i8").tobytes(),
                 "counts": counts.tobytes(),
                 "ids": ids.tobytes(),
+                "used": (used := np.flatnonzero(seen := np.bincount(ids))).astype("<u4").tobytes(),
+                "times": seen[used].astype("<u4").tobytes(),
             }
             seq, before, held, names, coded = seq + 1, before + len(ids), 0, [], []
             return pa.RecordBatch.from_pylist([row], SEGMENT_ROW)
@@ -186,24 +257,24 @@ def segments(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         if names:
             yield segment()
 
-    return ordered.mapInArrow(run, "part int, seq int, before long, n_tokens long, nulls binary, doc_ids binary, counts binary, ids binary")
+    return ordered.mapInArrow(run, "part int, seq int, before long, n_tokens long, nulls binary, doc_ids binary, counts binary, ids binary, used binary, times binary")
 
 
-SEGMENT_ROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("nulls", pa.binary()), ("doc_ids", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
+SEGMENT_ROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("nulls", pa.binary()), ("doc_ids", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary()), ("used", pa.binary()), ("times", pa.binary())])
 
 
-def id_counts(found: DataFrame, kind: str, size: int) -> np.ndarray:
+def id_counts(found: DataFrame, size: int) -> np.ndarray:
     """How often each id occurs in all segments; as long as the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                counts += np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=size)
+            for used, times in zip(batch.column(0), batch.column(1), strict=True):
+                counts[np.frombuffer(used.as_buffer(), "<u4")] += np.frombuffer(times.as_buffer(), "<u4")
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["id", "n"])
 
-    rows = found.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    rows = found.select("used", "times").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = np.zeros(size, np.int64)
     for r in rows.toLocalIterator():
         counts[r["id"]] = r["n"]
@@ -214,12 +285,15 @@ def id_counts(found: DataFrame, kind: str, size: int) -> np.ndarray:
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """Lengths of an optimal prefix code of at most `limit` bits (0: the id does not occur), by package-merge."""
+    """Lengths of an optimal prefix code of at most `limit` bits (0: the id does not occur), by package-merge.
+
+    More ids than `limit` bits can tell apart raise it by as much as they need, and one.
+    """
     used = np.flatnonzero(counts)
     lengths = np.zeros(len(counts), np.uint8)
     n = len(used)
     if n > 1 << limit:
-        raise ValueError(f"{n} ids do not fit into codes of {limit} bits")
+        limit = (n - 1).bit_length() + 1
     if n < 2:
         lengths[used] = 1
         return lengths
@@ -245,8 +319,9 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
 class Code:
     """Canonical codes from lengths: shorter first, then by id."""
 
-    def __init__(self, lengths: np.ndarray, limit: int = LIMIT) -> None:
-        self.lengths, self.limit = lengths.astype(np.uint8), limit
+    def __init__(self, lengths: np.ndarray) -> None:
+        self.lengths = lengths.astype(np.uint8)
+        self.limit = limit = int(max(lengths, default=1)) or 1
         used = np.flatnonzero(lengths)
         self.crc = zlib.crc32(self.lengths[: used[-1] + 1 if len(used) else 0].tobytes())
         self.order = used[np.argsort(lengths[used], kind="stable")]
@@ -304,7 +379,7 @@ def to_blob(code: Code, base: int, nulls: bytes, doc_ids: bytes, counts: bytes,
     return HEAD.pack(b"PTK1", len(nulls), len(ids), base, BLOCK, code.crc, zlib.crc32(rest)) + rest
 
 
-def from_blob(blob: bytes, code_crc: int, table: tuple[np.ndarray, np.ndarray], limit: int = LIMIT) -> tuple[int, list[int | None], np.ndarray, np.ndarray]:
+def from_blob(blob: bytes, code_crc: int, table: tuple[np.ndarray, np.ndarray], limit: int) -> tuple[int, list[int | None], np.ndarray, np.ndarray]:
     """(ids before the segment, doc_ids, number of ids of each, all ids)."""
     magic, n_docs, n, base, block, crc, check = HEAD.unpack_from(blob)
     rest = blob[HEAD.size :]
@@ -323,7 +398,7 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = END_ID) -> None:
     spark, own = docs.sparkSession, encoder(path)
     kind, size = own.kind.str, max(own.size, end_id + 1)
     found = written(segments(docs, path, end_id), "segments", "zstd")
-    lengths = code_lengths(id_counts(found, kind, size))
+    lengths = code_lengths(id_counts(found, size))
     used = np.flatnonzero(lengths)
     spark.createDataFrame(pa.table({"id": used, "length": lengths[used].astype(np.int32)})).coalesce(1).write.parquet(f"{out}/code")
     totals = sorted((r["part"], r["n"]) for r in found.groupBy("part").agg(F.sum("n_tokens").alias("n")).toLocalIterator())
@@ -341,7 +416,7 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = END_ID) -> None:
                 blob = to_blob(code, bases[r["part"]] + r["before"], r["nulls"], r["doc_ids"], r["counts"], np.frombuffer(r["ids"], kind))
                 yield pa.RecordBatch.from_arrays([pa.array([r["part"]], pa.int32()), pa.array([r["seq"]], pa.int32()), pa.array([blob], pa.binary())], ["part", "seq", "blob"])
 
-    final = found.mapInArrow(run, "part int, seq int, blob binary")
+    final = found.drop("used", "times").mapInArrow(run, "part int, seq int, blob binary")
     final.withColumn("range", F.format_string("%08d", "part")).write.option("compression", "uncompressed").partitionBy("range").parquet(f"{out}/segments")
 
 
@@ -362,7 +437,7 @@ def read_digests(spark: SparkSession, out: str) -> DataFrame:
         table = code.table()
         for batch in batches:
             for blob in batch.column(0):
-                base, names, counts, ids = from_blob(blob.as_buffer().to_pybytes(), code.crc, table)
+                base, names, counts, ids = from_blob(blob.as_buffer().to_pybytes(), code.crc, table, code.limit)
                 ends = np.cumsum(counts, dtype=np.int64)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crcs = [zlib.crc32(raw[4 * (e - c) : 4 * e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
