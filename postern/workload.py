@@ -58,10 +58,11 @@ _STATES: dict[str, tuple[str, str | tuple[str, ...], dict[str, str | IndexDecl]]
 }
 
 
-def space(spark: SparkSession, sf_dir: str) -> Namespace:
-    """All states bound to the tables of one scale; nothing is read before a terminal runs."""
+def space(spark: SparkSession, sf_dir: str, *states: str) -> Namespace:
+    """The named states (all by default) bound to the tables of one scale; only schemas are read here."""
     ns = Namespace(spark, "tables")
-    for state, (name, key, kinds) in _STATES.items():
+    for state in states or _STATES:
+        name, key, kinds = _STATES[state]
         data = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         ns.bind(StateSchema.of(state, key, data, **kinds), data)
     return ns
@@ -77,7 +78,7 @@ def _scratch(spark: SparkSession) -> str:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> StateQuery:
-    return space(spark, sf_dir).query("order")
+    return space(spark, sf_dir, "order").query("order")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,19 +95,19 @@ _query("SELECT o_orderstatus AS value, count(*) AS n FROM orders WHERE o_orderpr
 
 @_query("SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def find_exact_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_df(space(spark, sf_dir), "order", "o_orderpriority", "1-URGENT")
+    return find_df(space(spark, sf_dir, "order"), "order", "o_orderpriority", "1-URGENT")
 
 
 @_query("SELECT o_orderkey FROM orders WHERE o_custkey = 77")
 def find_exact_range_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_df(space(spark, sf_dir), "order", "o_custkey", 77)
+    return find_df(space(spark, sf_dir, "order"), "order", "o_custkey", 77)
 
 
 def _range(name: str, low_in: bool, high_in: bool) -> None:
     ends = f"o_totalprice {'>=' if low_in else '>'} 112946.26 AND o_totalprice {'<=' if high_in else '<'} 473274.17"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return range_df(space(spark, sf_dir), "order", "o_totalprice", 112946.26, 473274.17, low_in, high_in)
+        return range_df(space(spark, sf_dir, "order"), "order", "o_totalprice", 112946.26, 473274.17, low_in, high_in)
 
     run.__name__ = name
     _query(f"SELECT o_orderkey FROM orders WHERE {ends}")(run)
@@ -118,14 +119,14 @@ for _name, _low, _high in (("range_closed", True, True), ("range_open", False, F
 
 @_query("SELECT o_orderkey FROM orders WHERE false")
 def range_open_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return range_df(space(spark, sf_dir), "order", "o_custkey", 77, 77, True, False)
+    return range_df(space(spark, sf_dir, "order"), "order", "o_custkey", 77, 77, True, False)
 
 
 def _compare(name: str, op: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = P.l_quantity
         condition = {"<": p < 11.0, "<=": p <= 11.0, ">": p > 11.0, ">=": p >= 11.0}[op]
-        return space(spark, sf_dir).query("line").where(condition).ids_df()
+        return space(spark, sf_dir, "line").query("line").where(condition).ids_df()
 
     run.__name__ = name
     _query(f"SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity {op} 11")(run)
@@ -152,22 +153,22 @@ def where_nested_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal >= 0")
 def where_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return space(spark, sf_dir).query("customer").where(P.c_mktsegment == "BUILDING").where(P.c_acctbal >= 0.0).ids_df()
+    return space(spark, sf_dir, "customer").query("customer").where(P.c_mktsegment == "BUILDING").where(P.c_acctbal >= 0.0).ids_df()
 
 
 @_query("SELECT p_partkey FROM part WHERE p_size IN (1, 7, 15, 23)")
 def where_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return space(spark, sf_dir).query("part").where_in("p_size", [23, 7, 1, 15]).ids_df()
+    return space(spark, sf_dir, "part").query("part").where_in("p_size", [23, 7, 1, 15]).ids_df()
 
 
 @_query("SELECT p_partkey FROM part WHERE p_size IN (7, 23)")
 def where_in_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return space(spark, sf_dir).query("part").where_in("p_size", [23, 7, 7, 23, 7]).ids_df()
+    return space(spark, sf_dir, "part").query("part").where_in("p_size", [23, 7, 7, 23, 7]).ids_df()
 
 
 @_query("SELECT p_partkey FROM part WHERE false")
 def where_in_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return space(spark, sf_dir).query("part").where_in("p_size", []).ids_df()
+    return space(spark, sf_dir, "part").query("part").where_in("p_size", []).ids_df()
 
 
 @_query("SELECT o_orderkey FROM orders WHERE o_custkey > 5 AND o_custkey > 9 AND o_custkey < 3")
@@ -185,32 +186,32 @@ def reversed_operands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT p_partkey FROM part WHERE p_size > 10.5")
 def integral_fractional_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return space(spark, sf_dir).query("part").where(P.p_size > 10.5).ids_df()
+    return space(spark, sf_dir, "part").query("part").where(P.p_size > 10.5).ids_df()
 
 
 @_query("SELECT p_partkey FROM part WHERE p_size <= 10.5 AND p_size >= 2.25")
 def integral_fractional_between(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return space(spark, sf_dir).query("part").where((P.p_size <= 10.5) & (P.p_size >= 2.25)).ids_df()
+    return space(spark, sf_dir, "part").query("part").where((P.p_size <= 10.5) & (P.p_size >= 2.25)).ids_df()
 
 
 @_query("SELECT p_partkey FROM part WHERE p_size = 10.5")
 def integral_fractional_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return space(spark, sf_dir).query("part").where(P.p_size == 10.5).ids_df()
+    return space(spark, sf_dir, "part").query("part").where(P.p_size == 10.5).ids_df()
 
 
 @_query("SELECT p_partkey FROM part WHERE p_size < 1e12")
 def integral_saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return space(spark, sf_dir).query("part").where(P.p_size < 1e12).ids_df()
+    return space(spark, sf_dir, "part").query("part").where(P.p_size < 1e12).ids_df()
 
 
 @_query("SELECT p_partkey FROM part WHERE p_size > CAST('-Infinity' AS DOUBLE)")
 def integral_infinity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return space(spark, sf_dir).query("part").where(P.p_size > -math.inf).ids_df()
+    return space(spark, sf_dir, "part").query("part").where(P.p_size > -math.inf).ids_df()
 
 
 @_query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE false")
 def nan_operand_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return space(spark, sf_dir).query("line").where(P.l_discount >= math.nan).ids_df()
+    return space(spark, sf_dir, "line").query("line").where(P.l_discount >= math.nan).ids_df()
 
 
 @_query("SELECT o_orderkey FROM orders WHERE CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_totalprice END > 300000")
@@ -292,12 +293,12 @@ def membership_and_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT DISTINCT p_brand AS value FROM part ORDER BY 1 LIMIT 10")
 def facet_distinct_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return space(spark, sf_dir).query("part").distinct_df("p_brand", 10)
+    return space(spark, sf_dir, "part").query("part").distinct_df("p_brand", 10)
 
 
 @_query("SELECT DISTINCT p_brand AS value FROM part WHERE p_brand > 'Brand#22' AND p_size > 5 ORDER BY 1 LIMIT 10")
 def facet_distinct_page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return space(spark, sf_dir).query("part").where(P.p_size > 5).distinct_df("p_brand", 10, "Brand#22")
+    return space(spark, sf_dir, "part").query("part").where(P.p_size > 5).distinct_df("p_brand", 10, "Brand#22")
 
 
 @_query("SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
@@ -328,17 +329,17 @@ FROM placed, bound, ends WHERE rank <= {top}
 
 @_query(_certificate("event_type", "user_id % 4", "events", "true", 4))
 def facet_topn_approx_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return space(spark, sf_dir).query("event").approximate_counts_df("event_type", 4, F.col("user_id") % 4)
+    return space(spark, sf_dir, "event").query("event").approximate_counts_df("event_type", 4, F.col("user_id") % 4)
 
 
 @_query(_certificate("user_id", "event_id % 3", "events", "value > 20", 30))
 def facet_topn_approx_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return space(spark, sf_dir).query("event").where(P.value > 20.0).approximate_counts_df("user_id", 30, F.col("event_id") % 3)
+    return space(spark, sf_dir, "event").query("event").where(P.value > 20.0).approximate_counts_df("user_id", 30, F.col("event_id") % 3)
 
 
 @_query(_certificate("event_type", "user_id % 2", "events", "true", 64))
 def facet_topn_approx_exhausted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return space(spark, sf_dir).query("event").approximate_counts_df("event_type", 64, F.col("user_id") % 2)
+    return space(spark, sf_dir, "event").query("event").approximate_counts_df("event_type", 64, F.col("user_id") % 2)
 
 
 @_query("SELECT min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders")
@@ -371,7 +372,7 @@ def id_page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND (l_orderkey > 100 OR (l_orderkey = 100 AND l_linenumber > 2)) GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 20")
 def id_page_composite_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return space(spark, sf_dir).query("line").where(P.l_returnflag == "R").id_page_df(20, (100, 2))
+    return space(spark, sf_dir, "line").query("line").where(P.l_returnflag == "R").id_page_df(20, (100, 2))
 
 
 # --- hydration -----------------------------------------------------------------------------------
@@ -389,7 +390,7 @@ def hydrate_left(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') AND o_orderpriority = '1-URGENT' AND o_custkey % 2 = 0")
 def hydrate_inner_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ns = space(spark, sf_dir)
+    ns = space(spark, sf_dir, "order")
     query = ns.query("order").where(P.o_orderpriority == "1-URGENT")
     later = ns.data("order").where(F.col("o_custkey") % 2 == 0)
     return hydrate.recheck(query.ids_df(), later, ["o_orderkey"], query.plan).select("o_orderkey", "o_totalprice")
@@ -605,5 +606,5 @@ def external_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def explain_plan(spark: SparkSession, sf_dir: str) -> str:
     """The normalised plan of the flagship's filter, for reading."""
-    ns = space(spark, sf_dir)
+    ns = space(spark, sf_dir, "order")
     return repr(translate(ns.schema("order"), [P.o_orderpriority == "1-URGENT", P.o_totalprice > 1000.0]))
