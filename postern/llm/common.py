@@ -31,9 +31,14 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 def written(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """df as a table in the shared folder: computed once, and read again by whatever survives."""
+    return written_at(df, label, codec)[0]
+
+
+def written_at(df: DataFrame, label: str, codec: str = "snappy") -> tuple[DataFrame, str]:
+    """As written(), with the folder, for tables that can go before the query ends."""
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from postern.llm.common import written
+from postern.llm.common import remove, written, written_at
 
 RADIUS = 3
 SEED = 42
@@ -248,7 +248,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     joins that combine before they shuffle, never by collecting the neighbours.
     """
     spark = edges.sparkSession
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+    now, path = written_at(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -256,11 +256,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.join(least, large["at"] == least["u"]).select(F.col("far").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         turned = large.join(small, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        after = written(turned.select("e.u", "e.v").where("u != v").distinct(), "edges")
-        if _signature(after) == _signature(now):
-            now = after
+        after, next_path = written_at(turned.select("e.u", "e.v").where("u != v").distinct(), "edges")
+        settled = _signature(after) == _signature(now)
+        remove(spark, path)  # nothing reads an earlier round any more
+        now, path = after, next_path
+        if settled:
             break
-        now = after
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -39,7 +39,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postern.llm.common import remove, scratch, written
+from postern.llm.common import remove, scratch, written_at
 
 END_ID = 2
 LIMIT = 16
@@ -397,7 +397,7 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = END_ID) -> None:
     """Encodes docs and writes them to the folder out, in the file format above."""
     spark, own = docs.sparkSession, encoder(path)
     kind, size = own.kind.str, max(own.size, end_id + 1)
-    found = written(segments(docs, path, end_id), "segments", "zstd")
+    found, waiting = written_at(segments(docs, path, end_id), "segments", "zstd")
     lengths = code_lengths(id_counts(found, size))
     used = np.flatnonzero(lengths)
     spark.createDataFrame(pa.table({"id": used, "length": lengths[used].astype(np.int32)})).coalesce(1).write.parquet(f"{out}/code")
@@ -418,6 +418,7 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = END_ID) -> None:
 
     final = found.drop("used", "times").mapInArrow(run, "part int, seq int, blob binary")
     final.withColumn("range", F.format_string("%08d", "part")).write.option("compression", "uncompressed").partitionBy("range").parquet(f"{out}/segments")
+    remove(spark, waiting)
 
 
 def read_code(spark: SparkSession, out: str) -> np.ndarray:
