@@ -70,17 +70,17 @@ def fingerprint(raw: bytes, width: int) -> int:
     return int.from_bytes(np.packbits(bits).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fp (the fingerprint as a signed long) of every row."""
+def fingerprints(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """id, the carried columns and fp (the fingerprint as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = (fingerprint(x.as_py() or b"", width) for x in batch.column(1).cast(pa.binary()))
             fps = np.fromiter(prints, np.uint64, batch.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], [id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(fps)], [id_col, *carried, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *carried))
+    return docs.select(F.col(id_col), F.col(text_col).cast("string"), *carried).mapInArrow(run, f"{kinds}, fp long")
 
 
 def _masks() -> list[tuple[int, int, int]]:
@@ -277,15 +277,15 @@ def classes(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: s
     return _classes(docs, width, id_col, text_col).select(id_col, "fp", "component_id")
 
 
-def _classes(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """As classes(), with root, the component's least fingerprint."""
-    prints = written(fingerprints(docs, width, id_col, text_col), "fingerprints")
+def _classes(docs: DataFrame, width: int, id_col: str, text_col: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """As classes(), with the carried columns and root, the component's least fingerprint."""
+    prints = written(fingerprints(docs, width, id_col, text_col, carried), "fingerprints")
     found = written(links(ball_keys(prints.select("fp").distinct())), "links")
     roots = components(found)
     firsts = prints.groupBy("fp").agg(F.min(id_col).alias("first"))
     placed = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = placed.join(placed.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id", "root")
-    return prints.join(named, "fp").select(id_col, "fp", "component_id", "root")
+    return prints.join(named, "fp").select(id_col, *carried, "fp", "component_id", "root")
 
 
 def as_hex(fp: Column) -> Column:
@@ -293,26 +293,19 @@ def as_hex(fp: Column) -> Column:
 
 
 def dedup_stage(docs: DataFrame, width: int = 3) -> DataFrame:
-    """docs with one row of each component: that of its least doc_id.
+    """docs with one row of each component: that of its least doc_id, a null one if all are null.
 
-    Of rows that repeat this doc_id one stays.  Of a component whose ids are all null one row stays.
+    Of a component's texts under this doc_id the one with the least hash stays, of rows that repeat
+    both one.  Ids need not be unique: rows are told apart by doc_id and text, which decide the component.
     """
-    members = _classes(docs, width, "doc_id", "text")
-    keep = members.where("component_id = doc_id").select(F.col("doc_id").alias("keep")).distinct()
+    hashed = F.xxhash64(F.col("text").cast("string"))
+    members = _classes(docs.select("doc_id", "text", hashed.alias("h")), width, "doc_id", "text", ("h",))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h"))
+    # The id as a text that is never null, so that the join and the window share one shuffle.
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("name")
+    keys = ["name", "nameless", "h"]
+    keep = members.groupBy("root").agg(first.alias("first")).select(name("first.doc_id"), "first.nameless", "first.h")
     # The row travels as one value, so its columns can have any names.
-    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = rows.join(keep, F.col("doc_id") == F.col("keep"), "left_semi").select("row", one.alias("n")).where("n = 1").select("row.*")
-    nameless = rows.where("doc_id IS NULL")
-    if not nameless.limit(1).count():
-        return kept
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = np.fromiter((fingerprint(x.as_py() or b"", width) for x in batch.column(0).cast(pa.binary())), np.uint64, batch.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(prints)], ["row", "print"])
-
-    struct = nameless.select("row").schema.add("print", "long")
-    alone = members.where("component_id IS NULL").select("fp", "root").distinct()
-    left = nameless.select(F.col("text").cast("string"), "row").mapInArrow(marked, struct).join(alone, F.col("print") == F.col("fp")).dropDuplicates(["root"])
-    return kept.unionByName(left.select("row.*"))
+    rows = docs.select(name("doc_id"), F.col("doc_id").isNull().alias("nameless"), hashed.alias("h"), F.struct("*").alias("row"))
+    one = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
+    return rows.join(keep, keys, "left_semi").select("row", one.alias("n")).where("n = 1").select("row.*")

@@ -137,3 +137,13 @@ def test_one_component_per_group_of_copies(spark):
     got = simhash.classes(df, 3)
     assert got.where("doc_id % 3 = 0").select("component_id").distinct().collect() == [(0,)]
     assert got.count() == 3000
+
+
+def test_stage_keeps_a_row_of_every_component(spark, docs):
+    """Ids that repeat with different texts: survivors belong to their own components."""
+    comp = brute_components([naive(r[1], 3) for r in EDGES])
+    kept = [(r.doc_id, r.text) for r in simhash.dedup_stage(docs).collect()]
+    assert sorted(comp[naive(t, 3)] for _, t in kept) == sorted(set(comp.values()))
+    assert (5, "the same id, another text") in kept and (-4, "twice") in kept and (5, "twice") not in kept
+    same = spark.createDataFrame([(1, "one text of its own"), (1, "quite another text"), (1, "quite another text"), (2, "one text of its own")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.dedup_stage(same).collect()) == [(1, "one text of its own"), (1, "quite another text")]
