@@ -4,7 +4,10 @@ A document is rejected by the base rules (too few words, or over half of them in
 three-word windows), or by its compression.  zstandard's ratio (compressed / original UTF-8
 bytes) is taken of the whole text and of each fixed chunk.  Prose of a given length compresses
 into a known band: below it the text repeats itself, above it the text is noise (encoded or
-encrypted data).  Short texts compress less, so the limits go by length.
+encrypted data).  Short texts compress less, so the limits go by length, for chunks as for texts.
+Texts too short for sixteen of the fixed chunks are also cut into finer ones, so that encoded
+data beside prose is seen in them; texts below two of the finest (256 bytes) have no chunk test.
+Hexadecimal digits compress like prose and are not told from it.
 
 Null and empty texts have no words, all counts are 0, and they fail the base rules.  Every input
 row gives one output row, so repeated rows and null ids stay as they are.  Other columns of the
@@ -31,7 +34,9 @@ class Bands:
     """limits: (texts below this many bytes, least ratio, greatest ratio), the last for all others.
 
     A text of at least two chunks is also rejected if more than bad_share of its bytes lie in
-    chunks outside of chunk_low to chunk_high.
+    chunks outside of chunk_low to chunk_high.  A text of fewer than sixteen chunks is cut once
+    more, into the greatest of `finer` that gives sixteen, or the least; chunks of these are
+    judged by `fine_limits`, which read like limits and end where chunk_low and chunk_high begin.
     """
 
     level: int = 3
@@ -49,12 +54,34 @@ class Bands:
     )
     chunk: int = 2048
     chunk_low: float = 0.32
-    chunk_high: float = 0.80
+    chunk_high: float = 0.70
     bad_share: float = 0.4
+    finer: tuple[int, ...] = (1024, 512, 256, 128)
+    fine_limits: tuple[tuple[float, float, float], ...] = (
+        (192, 0.42, 0.97),
+        (384, 0.38, 0.86),
+        (768, 0.36, 0.80),
+        (1536, 0.34, 0.75),
+    )
 
     def band(self, size: int) -> tuple[float, float]:
         return next((low, high) for top, low, high in self.limits if size < top)
 
+    def cuts(self, size: int) -> list[int]:
+        """Lengths of the chunks that a text of this many bytes is cut into, one after the other."""
+        fine = [c for c in self.finer if c < self.chunk]
+        out = [self.chunk]
+        if fine and size < 16 * self.chunk:
+            out.append(next((c for c in fine if size >= 16 * c), fine[-1]))
+        return [c for c in out if size >= 2 * c]
+
+    def chunk_band(self, size: int, cut: int) -> tuple[float, float]:
+        if cut < self.chunk:
+            for top, low, high in self.fine_limits:
+                if size < top:
+                    return low, high
+        return self.chunk_low, self.chunk_high
+
 
 class _Ids(dict):
     """Numbers words in the order in which they come."""
@@ -92,22 +119,24 @@ def base_statistics(raw: bytes) -> tuple[int, int, int, int, int]:
 
 
 def in_band(raw: bytes, bands: Bands, squeeze: zstandard.ZstdCompressor) -> tuple[float, float, bool]:
-    """Whole-text ratio, share of bytes in chunks out of band, and whether both are within limits."""
+    """Whole-text ratio, share of bytes in chunks out of band (the greater of both cuts), and whether both are within limits."""
     size = len(raw)
     if not size:
         return 0.0, 0.0, False
     low, high = bands.band(size)
     ratio = len(squeeze.compress(raw)) / size
-    bad = 0
-    if size >= 2 * bands.chunk:
+    worst = 0
+    for cut in bands.cuts(size):
+        bad = 0
         # The last chunk takes the remainder, so that no chunk is shorter than the others.
-        starts = range(0, size - size % bands.chunk, bands.chunk)
+        starts = range(0, size - size % cut, cut)
         ends = [*starts[1:], size]
         for a, b in zip(starts, ends, strict=True):
-            r = len(squeeze.compress(raw[a:b])) / (b - a)
-            if not bands.chunk_low <= r <= bands.chunk_high:
+            least, most = bands.chunk_band(b - a, cut)
+            if not least <= len(squeeze.compress(raw[a:b])) / (b - a) <= most:
                 bad += b - a
-    return ratio, bad / size, low <= ratio <= high and bad <= bands.bad_share * size
+        worst = max(worst, bad)
+    return ratio, worst / size, low <= ratio <= high and worst <= bands.bad_share * size
 
 
 def judge(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

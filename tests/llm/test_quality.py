@@ -60,3 +60,20 @@ def test_stage_keeps_columns_and_rows(docs, none):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(judged)
     assert quality.judge(none).count() == quality.filter_stage(none).count() == 0
     assert len(LONG) > 100_000 and len(prose(1, 5)) > 5
+
+
+def test_encoded_data_beside_prose():
+    """Texts of every length of which half is base64 have too many chunks out of band; the prose alone has none."""
+    import base64
+
+    import zstandard
+
+    rng, squeeze, bands = random.Random(3), zstandard.ZstdCompressor(level=3), quality.Bands()
+    parts = ["th", "er", "in", "on", "an", "re", "ed", "st", "ou", "ng", "a", "e", "o"]
+    for size in (1500, 3500, 6000, 14_000, 60_000, 300_000):
+        words = " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(size // 3)).encode()
+        blob = base64.b64encode(rng.randbytes(size))
+        assert quality.in_band(words[:size], bands, squeeze)[1] == 0.0
+        for text in (words[: size // 2] + b" " + blob[: size // 2], blob[: size // 2] + b" " + words[: size // 2]):
+            assert len(text.split()) >= 50
+            assert quality.in_band(text, bands, squeeze)[1] > 0.4, size
