@@ -9,13 +9,19 @@ their sets of bigrams; a passage matches from `threshold` = t on.  Then
 * a text that holds a matching passage holds at least t / (2 - t) * |B| of the template's
   bigrams, and texts that do not are left out for that template.
 
-Both follow from the threshold, so nothing that matches is lost.  Passages are all runs of whole
-lines that begin and end with a line that holds one of the template's bigrams.  A text can join
-lines freely, so bigrams of a passage go across its line ends.
+Both follow from the threshold, so nothing that matches is lost.  Passages are of two kinds: all
+runs of whole lines that begin and end with a line that holds one of the template's bigrams, and,
+for a notice within a longer line, all runs of words that begin where the text goes over from
+other words to the template's bigrams and end where it leaves them.  To begin or end elsewhere never
+raises the coefficient: a bigram of the template more adds to both sets, another one only to the
+passage's.  So that a notice with its ends cut off does not gain by it, a run of words shorter than
+the template counts a bigram more for each word that it lacks.  A text can join lines freely, so
+bigrams of a passage go across its line ends.
 
-Licenses are worded alike, so each line is given to one of them: passages are taken in the order of
-their coefficients (ties: the earlier, the shorter, then by name), and those that overlap one taken
-before are passed over.
+Licenses are worded alike, so each word is given to one of them: passages are taken in the order of
+their coefficients (ties: the earlier, the shorter, then by name), whole lines before words, and
+those that overlap one taken before are passed over.  What whole lines match is thus reported with
+the whole lines' coefficient.
 
 One row per document and license found in it, or one row with a null license: the id, the license,
 the best coefficient over its passages, the number of the first line of the best passage (from 0),
@@ -27,8 +33,8 @@ they are a fixed list, and `MOST_TEMPLATES` bounds any other.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from importlib.resources import files
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +44,40 @@ from postern.llm.decontaminate import words_of
 THRESHOLD = 0.8
 MOST_TEMPLATES = 5000
 
+
+
+def _gnu(work: str, kind: str, version: str, mark: str | None) -> str:
+    """The Free Software Foundation's notice; without a mark, of this version only."""
+    granted = f"GNU {kind}General Public License"
+    if mark:
+        granted += f" as published by the Free Software Foundation{mark} either version {version} of the License, or (at your option) any later version."
+    else:
+        granted += f" version {version} as published by the Free Software Foundation."
+    return (
+        f"This {work} is free software: you can redistribute it and/or modify it under the terms of the {granted} This {work} is distributed in the hope that it "
+        "will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+        f"{kind}General Public License for more details."
+    )
+
+
+_BSD_2 = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution."
+)
+_BSD_3 = (
+    "3. Neither the name of the copyright holder nor the names of its contributors "
+    "may be used to endorse or promote products derived from this software without specific prior written permission."
+)
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE '
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+    "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
 #: License notices and texts as their publishers word them.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -106,6 +146,73 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("Proprietary", "All rights reserved."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("GPL-2.0", _gnu("program", "", "2", ";")),
+    ("GPL-2.0", _gnu("program", "", "2", None)),
+    ("LGPL-2.1", _gnu("library", "Lesser ", "2.1", ";")),
+    ("LGPL-3.0", _gnu("library", "Lesser ", "3", ",")),
+    ("LGPL-3.0", _gnu("program", "Lesser ", "3", ",")),
+    ("AGPL-3.0", _gnu("program", "Affero ", "3", ",")),
+    ("BSD-2-Clause", _BSD_2 + " " + _BSD_END),
+    ("BSD-3-Clause", _BSD_2 + " " + _BSD_3 + " " + _BSD_END),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        "copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+        "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
+        "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions "
+        "that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. "
+        "We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an "
+        "overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", "
+        "WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE "
+        "AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to "
+        "https://unlicense.org/",
+    ),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+)
+
+
+def _text(name: str) -> str:
+    return (files("postern.llm") / "license_texts" / f"{name}.txt").read_text("utf-8")
+
+
+def _affero(gpl: str) -> str:
+    """The AGPL's text: the GPL's with another name, first paragraph and section 13."""
+    head, _, rest = gpl.partition("13. Use with the GNU Affero General Public License.")
+    _, _, tail = rest.partition("14. Revised Versions")
+    rename = lambda x: x.replace("GNU General Public License", "GNU Affero General Public License").replace("GNU GENERAL PUBLIC", "GNU AFFERO GENERAL PUBLIC")
+    kind = "software and other kinds of works"
+    return (
+        rename(head).replace(f"{kind}.", f"{kind}, specifically designed to ensure cooperation with the community in the case of network server software.", 1)
+        + "13. Remote Network Interaction; Use with the GNU General Public License. Notwithstanding any other provision of this License, if you modify the Program, "
+        "your modified version must prominently offer all users interacting with it remotely through a computer network (if your version supports such "
+        "interaction) an opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server "
+        "at no charge, through some standard or customary means of facilitating copying of software. This Corresponding Source shall include the Corresponding "
+        "Source for any work covered by version 3 of the GNU General Public License that is incorporated pursuant to the following paragraph. Notwithstanding "
+        "any other provision of this License, you have permission to link or combine any covered work with a work licensed under version 3 of the GNU General "
+        "Public License into a single combined work, and to convey the resulting work. The terms of this License will continue to apply to the part which is "
+        "the covered work, but the work with which it is combined will remain governed by version 3 of the GNU General Public License. 14. Revised Versions"
+        + rename(tail)
+    )
+
+
+#: The same licenses' full texts.
+TEXTS: tuple[tuple[str, str], ...] = (
+    *((name, _text(name)) for name in ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")),
+    ("AGPL-3.0", _affero(_text("GPL-3.0"))),
 )
 
 Bigram = tuple[bytes, bytes]
@@ -118,6 +225,7 @@ def bigrams(words: list[bytes]) -> set[Bigram]:
 class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...], threshold: float) -> None:
         self.templates = [(name, bigrams(words_of(text.encode()))) for name, text in templates]
+        self.lengths = [len(words_of(text.encode())) for _, text in templates]
         self.threshold = threshold
         self.least, self.most = threshold / (2 - threshold), (2 - threshold) / threshold
         self.any = set().union(*(b for _, b in self.templates)) if self.templates else set()
@@ -134,36 +242,33 @@ class Scanner:
                 shared[k] = shared.get(k, 0) + 1
         return sorted(k for k, n in shared.items() if n >= self.least * len(self.templates[k][1]))
 
-    def passages(self, lines: list[list[bytes]], template: set[Bigram]) -> Iterator[tuple[float, int, int]]:
-        """(coefficient, first line, lines) of every run of lines that matches."""
+    def passages(self, pairs: list[Bigram], template: set[Bigram], spans: list[tuple[int, int]], length: int = 0) -> Iterator[tuple[float, int, int]]:
+        """(coefficient, first word, end) of every passage that matches, from the begin of a span to the end of one; words short of length count."""
         low, high = self.least * len(template), self.most * len(template)
-        tops = np.array([not template.isdisjoint(zip(a, a[1:], strict=False)) for a in lines])
-        # A bigram may also lie across line ends.
-        before = b""
-        for i, a in enumerate(lines):
-            if a:
-                if before and (before, a[0]) in template:
-                    tops[last] = tops[i] = True
-                before, last = a[-1], i
-        holding = np.flatnonzero(tops).tolist()
-        for at, first in enumerate(holding):
+        # Template bigrams from each place on: a passage that begins where too few are left cannot match.
+        left, seen = [0] * (len(pairs) + 1), set()
+        for i in range(len(pairs) - 1, -1, -1):
+            if pairs[i] in template:
+                seen.add(pairs[i])
+            left[i] = len(seen)
+        for at, (first, _) in enumerate(spans):
+            if left[min(first, len(pairs))] < low:
+                break
             found: set[Bigram] = set()
-            tail, upto = b"", first
-            for end in holding[at:]:
-                for i in range(upto, end + 1):
-                    a = lines[i]
-                    if a:
-                        if tail:
-                            found.add((tail, a[0]))
-                        found.update(zip(a, a[1:], strict=False))
-                        tail = a[-1]
-                upto = end + 1
+            shared, upto = 0, first
+            for _, end in spans[at:]:
+                for pair in pairs[upto : end - 1]:
+                    if pair not in found:
+                        found.add(pair)
+                        shared += pair in template
+                upto = max(upto, end - 1)
                 if len(found) > high:
                     break
-                if len(found) >= low:
-                    score = 2 * len(found & template) / (len(found) + len(template))
+                size = len(found) + max(0, length - (end - first))
+                if low <= size <= high:
+                    score = 2 * shared / (size + len(template))
                     if score >= self.threshold:
-                        yield score, first, end + 1 - first
+                        yield score, first, end
 
     def scan(self, raw: bytes) -> list[tuple[str, float, int, int, bool]]:
         """(license, coefficient, first line, lines, whole) of every license found, by name."""
@@ -171,21 +276,49 @@ class Scanner:
         asked = self.candidates(words)
         if not asked:
             return []
-        lines = [words_of(x) for x in raw.split(b"\n")]
-        own = bigrams(words)
-        found = sorted((-score, first, n, name, k) for k in asked for name, template in [self.templates[k]] for score, first, n in self.passages(lines, template))
+        pairs = list(zip(words, words[1:], strict=False))
+        own = set(pairs)
+        line_of: list[int] = []
+        bounds: dict[int, tuple[int, int]] = {}  # (first word, end) of lines with words
+        for i, x in enumerate(raw.split(b"\n")):
+            if n := len(words_of(x)):
+                bounds[i] = (len(line_of), len(line_of) + n)
+                line_of += [i] * n
         out: dict[str, tuple[str, float, int, int, bool]] = {}
-        covered: set[int] = set()
-        for score, first, n, name, k in found:
-            if covered.isdisjoint(range(first, first + n)):
-                covered.update(range(first, first + n))
-                template = self.templates[k][1]
-                whole = 2 * len(own & template) >= self.threshold * (len(own) + len(template))
-                out.setdefault(name, (name, -score, first, n, whole))
+        covered = bytearray(len(words))
+
+        def take(spans_of: dict[int, list[tuple[int, int]]], whole_lines: bool) -> None:
+            found = []
+            for k, spans in spans_of.items():
+                name, template = self.templates[k]
+                found += [(-score, first, end, name, k) for score, first, end in self.passages(pairs, template, spans, 0 if whole_lines else self.lengths[k])]
+            found.sort()
+            for score, first, end, name, k in found:
+                if not any(covered[first:end]):
+                    covered[first:end] = b"\1" * (end - first)
+                    template = self.templates[k][1]
+                    whole = 2 * len(own & template) >= self.threshold * (len(own) + len(template))
+                    at = line_of[first]
+                    out.setdefault(name, (name, -score, at, line_of[end - 1] + 1 - at, whole))
+
+        hits = {k: [i for i, pair in enumerate(pairs) if pair in self.templates[k][1]] for k in asked}
+        take({k: [bounds[i] for i in sorted({line_of[j] for h in at for j in (h, h + 1)})] for k, at in hits.items()}, True)
+        # Then within lines: bigrams that touch no word taken, in runs.
+        runs: dict[int, list[tuple[int, int]]] = {}
+        for k, at in hits.items():
+            for h in at:
+                if covered[h] or covered[h + 1]:
+                    continue
+                mine = runs.setdefault(k, [])
+                if mine and mine[-1][1] == h + 1:
+                    mine[-1] = (mine[-1][0], h + 2)
+                else:
+                    mine.append((h, h + 2))
+        take(runs, False)
         return [out[name] for name in sorted(out)]
 
 
-def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id") -> DataFrame:
+def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES + TEXTS, threshold: float = THRESHOLD, id_col: str = "doc_id") -> DataFrame:
     """id, license, dice, first_line, n_lines, whole_text; a map over the texts."""
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"{len(templates)} templates; they are handed to every task, which takes {MOST_TEMPLATES} at most")

@@ -73,3 +73,26 @@ def test_edges(docs, none):
     got = licenses.scan(docs).collect()
     assert len(got) == len(EDGES) and all(r.license is None for r in got)
     assert licenses.scan(none).count() == 0
+
+
+def names(text):
+    scanner = licenses.Scanner(licenses.TEMPLATES + licenses.TEXTS, licenses.THRESHOLD)
+    return {name: (round(dice, 3), first, n) for name, dice, first, n, _ in scanner.scan(text.encode())}
+
+
+def test_notices_within_lines():
+    assert names("Copyright 2024 Acme Inc. All rights reserved.") == {"Proprietary": (1.0, 0, 1)}
+    assert names("This article is licensed under CC BY 4.0.") == {"CC-BY-4.0": (1.0, 0, 1)}
+    for name, body in licenses.TEMPLATES:
+        assert name in names(f"{prose(1, 90)}\n{prose(2, 60)} {body} {prose(3, 60)}"), body
+    two = names(f"{prose(4, 80)} Licensed under CC BY-SA 4.0. {prose(5, 50)} Released under the MIT License.")
+    assert two == {"CC-BY-SA-4.0": (1.0, *two["CC-BY-SA-4.0"][1:]), "MIT": (1.0, *two["MIT"][1:])}
+
+
+def test_notices_and_texts_have_their_own_names():
+    gnu = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation; either version {1} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License for more details."
+    for kind, version, name in (("", 2, "GPL-2.0"), ("", 3, "GPL-3.0"), ("Lesser ", 3, "LGPL-3.0"), ("Affero ", 3, "AGPL-3.0")):
+        assert names(gnu.format(kind, version)) == {name: (1.0, 0, 1)}
+    for name, body in licenses.TEXTS:
+        assert names(body)[name][0] == 1.0
+        assert names(" ".join(body.split()))[name][0] == 1.0
