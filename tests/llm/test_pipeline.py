@@ -44,7 +44,7 @@ def brute_pipeline(docs):
         if k not in least or d[0] < least[k][0]:
             least[k] = d
     clean = [d for d in least.values() if not contamination(d[1], ITEMS)[-1]]
-    mixed = [d for d, c in zip(clean, brute_copies([(d[0], d[1], d[3]) for d in clean])) for _ in range(c)]
+    mixed = [d for d, c in zip(clean, brute_copies(clean, 3, "qsssq")) for _ in range(c)]
     tokenizer, upto, out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, []
     for d in sorted(mixed, key=lambda d: d[0]):
         ids = np.array([*tokenizer.encode(d[1] or "", add_special_tokens=False).ids, 2], "<u4")
