@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space that separates words: \x20 and \x09-\x0D, which is also what bytes.split() takes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,3 +47,9 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row, 64 bits; maps and variants, which have none, count as their text."""
+    quoted = [(F.col(f"`{c.replace('`', '``')}`"), t) for c, t in df.dtypes]
+    return F.xxhash64(*(c.cast("string") if "map<" in t or "variant" in t else c for c, t in quoted))

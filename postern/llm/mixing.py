@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postern.llm.common import WORD, remove, written, written_at
+from postern.llm.common import WORD, remove, row_hash, written, written_at
 
 WEIGHTS = (3, 1, 2)
 #: The words taken meet the target to this part of it before they are rounded.
@@ -150,9 +150,7 @@ _MAX = (1 << 63) - 1
 
 def _measured(docs: DataFrame) -> list[Column]:
     """__size and __hash (63 bits, of all columns) of a document."""
-    quoted = [(f"`{c.replace('`', '``')}`", t) for c, t in docs.dtypes]
-    plain = [F.col(c).cast("string") if "map<" in t or "variant" in t else F.col(c) for c, t in quoted]
-    return [word_count(F.col("text").cast("string")).alias("__size"), F.xxhash64(*plain).bitwiseAND(F.lit(_MAX)).alias("__hash")]
+    return [word_count(F.col("text").cast("string")).alias("__size"), row_hash(docs).bitwiseAND(F.lit(_MAX)).alias("__hash")]
 
 
 def _whole(size: Column, base: float, most: float) -> Column:

@@ -36,7 +36,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -70,17 +70,17 @@ def fingerprint(raw: bytes, width: int) -> int:
     return int.from_bytes(np.packbits(bits).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
-    """id, the carried columns and fp (the fingerprint as a signed long) of every row."""
+def fingerprints(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and fp (the fingerprint as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = (fingerprint(x.as_py() or b"", width) for x in batch.column(1).cast(pa.binary()))
             fps = np.fromiter(prints, np.uint64, batch.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(fps)], [id_col, *carried, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], [id_col, "fp"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *carried))
-    return docs.select(F.col(id_col), F.col(text_col).cast("string"), *carried).mapInArrow(run, f"{kinds}, fp long")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, fp long")
 
 
 def _masks() -> list[tuple[int, int, int]]:
@@ -95,10 +95,16 @@ def _masks() -> list[tuple[int, int, int]]:
     return out
 
 
+def spread(rows: DataFrame, bytes_each: int) -> DataFrame:
+    """rows dealt over so many tasks that what each row becomes, bytes_each, stays near 64 MB a task."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() * bytes_each // (64 << 20)))
+    return rows.repartition(tasks)
+
+
 def ball_keys(distinct: DataFrame) -> DataFrame:
     """block, key and fp: every variant of every fingerprint; built-in expressions only."""
     masks = F.array(*(F.struct(F.lit(b).cast("byte").alias("block"), F.lit(k).cast("long").alias("keep"), F.lit(f).cast("long").alias("flip")) for b, k, f in _masks()))
-    emitted = distinct.select("fp", F.explode(masks).alias("m"))
+    emitted = spread(distinct, 24 * len(_masks())).select("fp", F.explode(masks).alias("m"))
     return emitted.select(F.col("m.block").alias("block"), F.col("fp").bitwiseXOR(F.col("m.flip")).bitwiseAND(F.col("m.keep")).alias("key"), "fp")
 
 
@@ -196,18 +202,11 @@ def links(keys: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, found = Forest(), []
-        blocks, names, fps = (np.empty(0, k) for k in (np.int8, np.int64, np.uint64))
+        held: list[tuple[np.ndarray, ...]] = []  # batches of one key that may go on, but for the newest
 
-        def settled(last: bool) -> None:
-            """Takes all keys whose members are complete; the last key may go on in the next batch."""
-            nonlocal blocks, names, fps
-            if not len(names):
-                return
+        def settle(blocks: np.ndarray, names: np.ndarray, fps: np.ndarray) -> None:
             new = np.flatnonzero((names[1:] != names[:-1]) | (blocks[1:] != blocks[:-1])) + 1
-            starts = np.r_[0, new]
-            ends = np.r_[new, len(names)]
-            if not last:
-                starts, ends = starts[:-1], ends[:-1]
+            starts, ends = np.r_[0, new], np.r_[new, len(names)]
             pairs = list(_small_edges(fps, starts, ends))
             for s, e in zip(*(x[ends - starts > SMALL].tolist() for x in (starts, ends)), strict=True):
                 pairs += bucket_edges(fps[s:e], int(names[s]) & (1 << 64) - 1, int(blocks[s]))
@@ -216,8 +215,6 @@ def links(keys: DataFrame) -> DataFrame:
                 right = differing(a, b) <= RADIUS
                 edges = np.unique(np.stack([np.minimum(a, b)[right], np.maximum(a, b)[right]]), axis=1)
                 found.extend((x, y) for x, y in zip(*edges.tolist(), strict=True) if forest.join(x, y))
-            rest = len(names) if last else new[-1] if len(new) else 0
-            blocks, names, fps = blocks[rest:], names[rest:], fps[rest:]
 
         def handed() -> pa.RecordBatch:
             nonlocal forest, found
@@ -226,21 +223,33 @@ def links(keys: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
 
         for batch in batches:
-            blocks = np.r_[blocks, batch.column(0).to_numpy()]
-            names = np.r_[names, batch.column(1).to_numpy()]
-            fps = np.r_[fps, batch.column(2).to_numpy().view(np.uint64)]
-            settled(False)
+            if not batch.num_rows:
+                continue
+            blocks, names = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            held.append((blocks, names, batch.column(2).to_numpy().view(np.uint64)))
+            if (blocks[-1], names[-1]) == (held[0][0][0], held[0][1][0]):  # one key so far
+                continue
+            blocks, names, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+            rest = np.flatnonzero((names != names[-1]) | (blocks != blocks[-1]))[-1] + 1
+            settle(blocks[:rest], names[:rest], fps[:rest])
+            held = [(blocks[rest:], names[rest:], fps[rest:])]
             if len(found) >= FOREST_EDGES:
                 yield handed()
-        settled(True)
+        if held:
+            settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
         yield handed()
 
     dealt = keys.repartition("block", "key").sortWithinPartitions("block", "key")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node and root (its component's smallest node) of every node of edges a, b.
+def components(edges: DataFrame) -> DataFrame:
+    """node and root (its component's smallest node) of every node of edges a, b."""
+    return components_at(edges)[0]
+
+
+def components_at(edges: DataFrame) -> tuple[DataFrame, str]:
+    """As components(), with the folder of the table that it reads.
 
     Alternating stars: each round points the greater neighbours of a node to its least one, then
     all lesser neighbours to the least.  Logarithmic in the longest path; each round reads and
@@ -249,7 +258,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     now, path = written_at(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    for _ in range(rounds):
+    settled = False
+    while not settled:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = now.select(F.col("v").alias("at"), F.col("u").alias("far"))  # far is a greater neighbour of at
@@ -260,12 +270,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         settled = _signature(after) == _signature(now)
         remove(spark, path)  # nothing reads an earlier round any more
         now, path = after, next_path
-        if settled:
-            break
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), path
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -274,38 +280,15 @@ def _signature(edges: DataFrame) -> tuple:
 
 def classes(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp and component_id (the least id in the component) of every row."""
-    return _classes(docs, width, id_col, text_col).select(id_col, "fp", "component_id")
-
-
-def _classes(docs: DataFrame, width: int, id_col: str, text_col: str, carried: tuple[str, ...] = ()) -> DataFrame:
-    """As classes(), with the carried columns and root, the component's least fingerprint."""
-    prints = written(fingerprints(docs, width, id_col, text_col, carried), "fingerprints")
-    found = written(links(ball_keys(prints.select("fp").distinct())), "links")
+    prints = written(fingerprints(docs, width, id_col, text_col), "fingerprints")
+    found, path = written_at(links(ball_keys(prints.select("fp").distinct())), "links")
     roots = components(found)
+    remove(docs.sparkSession, path)
     firsts = prints.groupBy("fp").agg(F.min(id_col).alias("first"))
     placed = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id", "root")
-    return prints.join(named, "fp").select(id_col, *carried, "fp", "component_id", "root")
+    named = placed.join(placed.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
+    return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
 def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def dedup_stage(docs: DataFrame, width: int = 3) -> DataFrame:
-    """docs with one row of each component: that of its least doc_id, a null one if all are null.
-
-    Of a component's texts under this doc_id the one with the least hash stays, of rows that repeat
-    both one.  Ids need not be unique: rows are told apart by doc_id and text, which decide the component.
-    """
-    hashed = F.xxhash64(F.col("text").cast("string"))
-    members = _classes(docs.select("doc_id", "text", hashed.alias("h")), width, "doc_id", "text", ("h",))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h"))
-    # The id as a text that is never null, so that the join and the window share one shuffle.
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("name")
-    keys = ["name", "nameless", "h"]
-    keep = members.groupBy("root").agg(first.alias("first")).select(name("first.doc_id"), "first.nameless", "first.h")
-    # The row travels as one value, so its columns can have any names.
-    rows = docs.select(name("doc_id"), F.col("doc_id").isNull().alias("nameless"), hashed.alias("h"), F.struct("*").alias("row"))
-    one = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
-    return rows.join(keep, keys, "left_semi").select("row", one.alias("n")).where("n = 1").select("row.*")

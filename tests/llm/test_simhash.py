@@ -114,7 +114,7 @@ def test_lookups_equal_comparisons():
     assert len(fps) > 2048 and all(forest.root(x) == brute.root(x) for x in fps.tolist())
 
 
-def test_classes_and_stage(docs, none):
+def test_classes_equal_brute_force(docs, none):
     got = simhash.classes(docs, 3).collect()
     comp = brute_components([naive(r[1], 3) for r in EDGES])
     least = {}
@@ -124,12 +124,7 @@ def test_classes_and_stage(docs, none):
             least[k] = min(least.get(k, d), d)
     want = sorted(((d, least.get(comp[naive(t, 3)])) for d, t, *_ in EDGES), key=repr)
     assert sorted(((r.doc_id, r.component_id) for r in got), key=repr) == want
-    kept = simhash.dedup_stage(docs)
-    assert kept.columns == docs.columns
-    ids = sorted((r.doc_id for r in kept.collect()), key=repr)
-    alone = len({comp[naive(t, 3)] for d, t, *_ in EDGES if d is None} - set(least))
-    assert ids == sorted([*set(least.values()), *[None] * alone], key=repr) and alone == 1
-    assert simhash.classes(none).count() == 0 and simhash.dedup_stage(none).count() == 0
+    assert simhash.classes(none).count() == 0
 
 
 def test_one_component_per_group_of_copies(spark):
@@ -137,13 +132,3 @@ def test_one_component_per_group_of_copies(spark):
     got = simhash.classes(df, 3)
     assert got.where("doc_id % 3 = 0").select("component_id").distinct().collect() == [(0,)]
     assert got.count() == 3000
-
-
-def test_stage_keeps_a_row_of_every_component(spark, docs):
-    """Ids that repeat with different texts: survivors belong to their own components."""
-    comp = brute_components([naive(r[1], 3) for r in EDGES])
-    kept = [(r.doc_id, r.text) for r in simhash.dedup_stage(docs).collect()]
-    assert sorted(comp[naive(t, 3)] for _, t in kept) == sorted(set(comp.values()))
-    assert (5, "the same id, another text") in kept and (-4, "twice") in kept and (5, "twice") not in kept
-    same = spark.createDataFrame([(1, "one text of its own"), (1, "quite another text"), (1, "quite another text"), (2, "one text of its own")], "doc_id long, text string")
-    assert sorted(tuple(r) for r in simhash.dedup_stage(same).collect()) == [(1, "one text of its own"), (1, "quite another text")]
