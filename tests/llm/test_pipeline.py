@@ -66,7 +66,8 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
             assert frame.columns == [c.split(" ")[0] for c in kind.split(", ")], name
             seen.append(frame.count())
     assert seen == counts
-    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "n_tokens", "ids_crc32").collect(), key=repr) == sorted(want, key=repr)
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(want, key=repr)
 
 
 def test_an_empty_corpus(spark, tmp_path):
