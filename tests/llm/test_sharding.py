@@ -5,8 +5,9 @@ import zlib
 from collections import defaultdict
 from itertools import accumulate
 
-from postern.llm import sharding
+import xxhash
 
+from postern.llm import sharding
 from tests.llm.conftest import EDGES
 
 
@@ -60,6 +61,41 @@ def test_even_sizes(spark):
     assert len(sums) == 40 and max(sums.values()) < 1.05 * mean and min(sums.values()) > 0.95 * mean
 
 
+def shard_hash(text):
+    return xxhash.xxh64_intdigest(text.encode(), 42) & (1 << 63) - 1
+
+
+def test_the_largest_shard_is_minimal_over_groups(spark):
+    """Equal to dynamic programming over all groups, from however few cells the search begins."""
+    rng = random.Random(7)
+    for n_cells, shards, huge in ((4, 5, 0), (16, 7, 30), (2, 3, 300), (64, 40, 0)):
+        rows = [(i, f"text {rng.randrange(300)} " + "x" * rng.choice([1, 5, 90])) for i in range(500)] + [(9, "one group")] * huge
+        groups = defaultdict(int)
+        for _, t in rows:
+            groups[shard_hash(t)] += len(t) + 16
+        sums, home = defaultdict(int), {}
+        for r in sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), shards, n_cells=n_cells).collect():
+            sums[r.shard] += r["size"]
+            assert home.setdefault(r.text_crc32, r.shard) == r.shard
+        assert max(sums.values()) == best([groups[h] for h in sorted(groups)], shards) and set(sums) == set(range(shards))
+
+
+def test_cells_are_refined_only_where_cuts_fall(spark):
+    df = spark.range(20_000).selectExpr("xxhash64(id) & 9223372036854775807 AS `group`", "1 + id % 50 AS size")
+    sizes = [r["size"] for r in df.orderBy("group").collect()]
+    asked = []
+    counted = sharding.counted
+    try:
+        sharding.counted = lambda narrow, cells, bits: asked.append(len(cells)) or counted(narrow, cells, bits)
+        firsts = sharding.partition(df, 10, 256)
+    finally:
+        sharding.counted = counted
+    ends = [0, *(sum(1 for r in df.collect() if r["group"] < f) for f in firsts), len(sizes)]
+    ordered = [r["size"] for r in df.orderBy("group").collect()]
+    assert max(sum(ordered[a:b]) for a, b in zip(sorted(ends), sorted(ends)[1:])) == sharding.smallest_capacity(sizes, 10)
+    assert 1 < len(asked) < 12 and max(asked) < 256
+
+
 def test_repeatable_and_empty(spark, docs, none):
     key = lambda df: sorted(map(repr, df.collect()))
     assert key(sharding.assign(docs, 5)) == key(sharding.assign(docs.repartition(7), 5))
