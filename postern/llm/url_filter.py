@@ -8,12 +8,16 @@ are tried on every URL.
 
 There are two lists.  Site rules (allow or block, a host with its subdomains and a path prefix)
 decide first: of those that fit, the longest wins.  Otherwise a URL is blocked if any block
-pattern matches, and allowed if none does.
+pattern matches, and allowed if none does.  Block patterns are words of the host, and globs of host and
+path, in which `*` stands for any text (without "/" in the host) and all else for itself; a literal token
+of a glob is one that no `*` touches.  Most globs have several, as common as `download` or as rare as
+`keygen`, so the rarest decides how seldom they are tried.
 
 The host stands after the first "://" up to "/", "?", "#" or the end, A-Z lower-cased; the path
 follows up to "?", "#" or the end.  Null urls and urls without "://" have neither, no rule fits
 them, and they are allowed.  Every input row gives one output row, ties of equally long site rules
-go to the first in code point order.  The rules are handed to every task; `most_rules` bounds them.
+go to the first in code point order.  The rules are broadcast; `MOST_RULES` bounds a broadcast, and a longer list is
+dealt over several, each looked through by a pass over the pages of its own.
 """
 
 from __future__ import annotations
@@ -24,9 +28,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postern.llm.common import written
+
 MOST_RULES = 100_000
 _TOKEN = re.compile(r"[a-z0-9]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -68,7 +75,47 @@ def block_word(word: str) -> Rule:
     return Rule(f"word:{word}", "block", rf"^(?:[^/]*[.\-])?{word}(?:[.\-][^/]*)?(?:/|\Z)", (word,))
 
 
-PATTERN_RULES = tuple(block_word(w) for w in BLOCK_WORDS)
+#: Globs of host and path that mark such pages on hosts whose names do not.
+BLOCK_GLOBS = (
+    "*/casino/bonus/*",
+    "*/free/spins/*",
+    "*/online/poker/*",
+    "*/sports/betting/odds*",
+    "*/buy/viagra*",
+    "*/cheap/pills/*",
+    "*/online/pharmacy/*",
+    "*/adult/video/*",
+    "*/live/cams/*",
+    "*/escort/girls/*",
+    "*/payday/loan*",
+    "*/replica/watches/*",
+    "*/download/keygen*",
+    "*/download/crack/*",
+    "*/torrent/download/*",
+    "*/essay/writing/service*",
+    "*/affiliate/click/*",
+    "*/track/pixel.gif",
+    "*/banner/ads/*",
+    "ad.*/click/*",
+    "ad.*/serve/*",
+    "click.*/redirect/*",
+    "free-*.*/win/prize*",
+    "cheap-*.*/buy/*",
+    "online-*.*/casino/*",
+    "*/wp-login.php",
+    "*/cgi-bin/*.exe",
+)
+
+
+def glob_rule(verdict: str, glob: str) -> Rule:
+    """Fits URLs whose host and path, lower-cased, the glob describes from the first to the last character."""
+    host, slash, path = glob.partition("/")
+    pattern = "[^/]*".join(map(re.escape, host.split("*"))) + slash + ".*".join(map(re.escape, path.split("*")))
+    tokens = tuple(m[0] for m in _TOKEN.finditer(glob) if "*" not in glob[max(0, m.start() - 1) : m.start()] + glob[m.end() : m.end() + 1])
+    return Rule(f"glob:{glob}", verdict, rf"(?is)^{pattern}\Z", tokens)
+
+
+PATTERN_RULES = (*(block_word(w) for w in BLOCK_WORDS), *(glob_rule("block", g) for g in BLOCK_GLOBS))
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -99,39 +146,90 @@ def token_counts(pages: DataFrame, rules: tuple[Rule, ...], url_col: str) -> dic
     return {r["token"]: r["n"] for r in rows.toLocalIterator()}
 
 
-def judge(pages: DataFrame, site_rules: tuple[Rule, ...] = SITE_RULES, pattern_rules: tuple[Rule, ...] = PATTERN_RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+@dataclass
+class Found:
+    """What one block of rules says of a URL: its site rule and verdict, and its least block pattern."""
+
+    site: str | None = None
+    verdict: str | None = None
+    blocked: str | None = None
+
+    def or_else(self, other: Found) -> Found:
+        mine, others = ((-len(x.site), x.site) if x.site is not None else (1, "") for x in (self, other))
+        first = self if mine <= others else other
+        return Found(first.site, first.verdict, min((x for x in (self.blocked, other.blocked) if x is not None), default=None))
+
+
+class Index:
+    """Rules under their rarest token; their regular expressions are compiled where they are first asked for."""
+
+    def __init__(self, rules: tuple[Rule, ...], counts: dict[str, int]) -> None:
+        self.rules, self.filed, self.compiled = rules, defaultdict(list), {}
+        for k, r in enumerate(rules):
+            self.filed[min(r.tokens, key=lambda t: (counts.get(t, 0), t), default="")].append(k)
+
+    def fetched(self, host: str, path: str) -> list[int]:
+        if not host and not path:
+            return []
+        return [*self.filed.get("", ()), *(k for t in token_set(host, path) for k in self.filed.get(t, ()))]
+
+    def fits(self, k: int, url: str) -> bool:
+        found = self.compiled.get(k)
+        if found is None:
+            found = self.compiled[k] = re.compile(self.rules[k].pattern)
+        return found.match(url) is not None
+
+    def judge(self, host: str, path: str) -> Found:
+        # Site rules look at the path as it is, with its case.
+        fits = [self.rules[k] for k in self.fetched(host, path) if self.fits(k, host + path)]
+        site = min((r for r in fits if r.site), key=lambda r: (-len(r.name), r.name), default=None)
+        return Found(site and site.name, site and site.verdict, min((r.name for r in fits if not r.site), default=None))
+
+
+def judge(
+    pages: DataFrame,
+    site_rules: tuple[Rule, ...] = SITE_RULES,
+    pattern_rules: tuple[Rule, ...] = PATTERN_RULES,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    most_rules: int = MOST_RULES,
+) -> DataFrame:
     """id, host, path, rule (the site rule that decides, or null), verdict, and the pattern that blocks, or null."""
-    rules = (*site_rules, *pattern_rules)
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; the index is handed to every task and takes {MOST_RULES} at most")
-    counts = token_counts(pages, rules, url_col)
-    index: dict[str, list[Rule]] = defaultdict(list)
-    for r in rules:
-        index[min(r.tokens, key=lambda t: (counts.get(t, 0), t), default="")].append(r)
-    filed = dict(index)
+    rules, context = (*site_rules, *pattern_rules), pages.sparkSession.sparkContext
+    kind = pages.schema[id_col].dataType.simpleString()
+    out = pages.select(F.col(id_col), F.col(url_col).cast("string").alias("url"), *(F.lit(None).cast("string").alias(c) for c in ("site", "site_verdict", "pattern")))
+    parts = [rules[a : a + most_rules] for a in range(0, len(rules), most_rules)] or [()]
+    for n, part in enumerate(parts):
+        index = context.broadcast(Index(part, token_counts(pages, part, url_col)))
+        out = out.mapInArrow(_looked_through(index, id_col), f"`{id_col}` {kind}, url string, site string, site_verdict string, pattern string")
+        if n < len(parts) - 1:  # one index at a time in a task
+            out = written(out, "urls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = {r.name: re.compile(r.pattern) for r in rules}
-        always = filed.get("", [])
         for batch in batches:
-            out = []
-            for url in batch.column(1).to_pylist():
-                host, path = split_url(url)
-                fetched = [*always, *(r for t in token_set(host, path) for r in filed.get(t, ()))] if host or path else []
-                # Site rules look at the path as it is, with its case.
-                fits = [r for r in fetched if compiled[r.name].match(host + path)]
-                site = min((r for r in fits if r.site), key=lambda r: (-len(r.name), r.name), default=None)
-                blocked = min((r.name for r in fits if not r.site), default=None)
-                out.append((host, path, site and site.name, site.verdict if site else "block" if blocked else "allow", blocked))
-            columns = [pa.array(c, pa.string()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.string())] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "host", "path", "rule", "verdict", "pattern"])
+            split = [split_url(url) for url in batch.column(1).to_pylist()]
+            hosts, paths = (pa.array([x[k] for x in split], pa.string()) for k in (0, 1))
+            verdicts = [v or ("block" if p else "allow") for v, p in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), hosts, paths, batch.column(2), pa.array(verdicts, pa.string()), batch.column(4)], [id_col, "host", "path", "rule", "verdict", "pattern"])
 
-    kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(F.col(id_col), F.col(url_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, pattern string")
+    return out.mapInArrow(run, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, pattern string")
+
+
+def _looked_through(index: Broadcast, id_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Index = index.value
+        for batch in batches:
+            before = [Found(*x) for x in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            found = [own.judge(*split_url(url)).or_else(b) for url, b in zip(batch.column(1).to_pylist(), before, strict=True)]
+            columns = [pa.array([getattr(x, c) for x in found], pa.string()) for c in ("site", "verdict", "blocked")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], [id_col, "url", "site", "site_verdict", "pattern"])
+
+    return run
 
 
 def _oracle() -> str:
     blocked = "|".join(BLOCK_WORDS)
+    globs = ", ".join(f"('{g}')" for g in BLOCK_GLOBS)
     return rf"""
 WITH p AS (
     SELECT page_id,
@@ -152,8 +250,12 @@ SELECT page_id, host, path, rule,
             WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
        pattern
 FROM (
-    SELECT *, (SELECT min('word:' || w) FROM unnest(string_split('{blocked}', '|')) AS t(w)
-               WHERE regexp_matches(host, '(^|[.-])' || w || '([.-]|$)')) AS pattern
+    SELECT *, least((SELECT min('word:' || w) FROM unnest(string_split('{blocked}', '|')) AS t(w)
+                     WHERE regexp_matches(host, '(^|[.-])' || w || '([.-]|$)')),
+                    (SELECT min('glob:' || g) FROM (VALUES {globs}) AS t(g)
+                     WHERE contains(path, '/')
+                       AND regexp_full_match(host, replace(replace(split_part(g, '/', 1), '.', '\.'), '*', '.*'), 's')
+                       AND regexp_full_match(lower(path), replace(replace(substr(g, strpos(g, '/')), '.', '\.'), '*', '.*'), 's'))) AS pattern
     FROM r
 )
 """
