@@ -32,7 +32,10 @@ they are a fixed list, and `MOST_TEMPLATES` bounds any other.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import OrderedDict
 from collections.abc import Iterator
+from fractions import Fraction
 from importlib.resources import files
 
 import pyarrow as pa
@@ -226,49 +229,72 @@ class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...], threshold: float) -> None:
         self.templates = [(name, bigrams(words_of(text.encode()))) for name, text in templates]
         self.lengths = [len(words_of(text.encode())) for _, text in templates]
-        self.threshold = threshold
-        self.least, self.most = threshold / (2 - threshold), (2 - threshold) / threshold
+        # Whole numbers decide, so that a coefficient of exactly the threshold matches.
+        exact = Fraction(str(threshold))
+        self.over, self.under = exact.numerator, exact.denominator
         self.any = set().union(*(b for _, b in self.templates)) if self.templates else set()
         self.by_bigram: dict[Bigram, list[int]] = {}
         for k, (_, own) in enumerate(self.templates):
             for b in own:
                 self.by_bigram.setdefault(b, []).append(k)
 
+    def matches(self, shared: int, size: int, template: int) -> bool:
+        return 2 * shared * self.under >= self.over * (size + template)
+
+    def enough(self, size: int, template: int) -> bool:
+        """size >= t / (2 - t) * template; with its arguments exchanged, size <= (2 - t) / t * template."""
+        return size * (2 * self.under - self.over) >= self.over * template
+
     def candidates(self, words: list[bytes]) -> list[int]:
         """Templates of which the text holds enough bigrams."""
         shared: dict[int, int] = {}
         for b in self.any.intersection(zip(words, words[1:], strict=False)):
             for k in self.by_bigram[b]:
                 shared[k] = shared.get(k, 0) + 1
-        return sorted(k for k, n in shared.items() if n >= self.least * len(self.templates[k][1]))
+        return sorted(k for k, n in shared.items() if self.enough(n, len(self.templates[k][1])))
 
     def passages(self, pairs: list[Bigram], template: set[Bigram], spans: list[tuple[int, int]], length: int = 0) -> Iterator[tuple[float, int, int]]:
-        """(coefficient, first word, end) of every passage that matches, from the begin of a span to the end of one; words short of length count."""
-        low, high = self.least * len(template), self.most * len(template)
-        # Template bigrams from each place on: a passage that begins where too few are left cannot match.
-        left, seen = [0] * (len(pairs) + 1), set()
-        for i in range(len(pairs) - 1, -1, -1):
-            if pairs[i] in template:
-                seen.add(pairs[i])
-            left[i] = len(seen)
-        for at, (first, _) in enumerate(spans):
-            if left[min(first, len(pairs))] < low:
-                break
-            found: set[Bigram] = set()
-            shared, upto = 0, first
-            for _, end in spans[at:]:
-                for pair in pairs[upto : end - 1]:
-                    if pair not in found:
-                        found.add(pair)
-                        shared += pair in template
-                upto = max(upto, end - 1)
-                if len(found) > high:
+        """(coefficient, first word, end) of passages that match, from the begin of a span to the end of one; words short of length count.
+
+        Of passages that begin alike, one that ends later is given only if it is better: else it is never
+        taken, because it overlaps all that the earlier one does.  So only ends matter that bring a new
+        bigram or are still short of length, and a text that repeats itself is not gone through again and
+        again: from the last begin to the first, `ahead` keeps the bigrams in the order of their next places.
+        """
+        ends, most = [end for _, end in spans], len(template)
+        ahead: OrderedDict[Bigram, int] = OrderedDict()  # the nearest last
+        at, left = len(pairs), 0
+        for first, _ in reversed(spans):
+            while at > first:
+                at -= 1
+                left += pairs[at] in template and pairs[at] not in ahead
+                ahead[pairs[at]] = at
+                ahead.move_to_end(pairs[at])
+            if not self.enough(left, most):  # too few of the template's bigrams are left
+                continue
+            nearest = iter(reversed(ahead.items()))
+            coming = next(nearest, None)
+            found = shared = 0
+            best, i = 0.0, bisect_right(ends, first)
+            while i < len(ends):
+                end = ends[i]
+                while coming and coming[1] <= end - 2:
+                    found += 1
+                    shared += coming[0] in template
+                    coming = next(nearest, None)
+                if not self.enough(most, found):  # too large already
                     break
-                size = len(found) + max(0, length - (end - first))
-                if low <= size <= high:
-                    score = 2 * shared / (size + len(template))
-                    if score >= self.threshold:
-                        yield score, first, end
+                size = found + max(0, length - (end - first))
+                score = 2 * shared / (size + most)
+                if score > best and self.matches(shared, size, most):
+                    best = score
+                    yield score, first, end
+                if end - first < length:
+                    i += 1
+                elif shared == left or not coming:
+                    break
+                else:
+                    i = max(i + 1, bisect_left(ends, coming[1] + 2))
 
     def scan(self, raw: bytes) -> list[tuple[str, float, int, int, bool]]:
         """(license, coefficient, first line, lines, whole) of every license found, by name."""
@@ -297,7 +323,7 @@ class Scanner:
                 if not any(covered[first:end]):
                     covered[first:end] = b"\1" * (end - first)
                     template = self.templates[k][1]
-                    whole = 2 * len(own & template) >= self.threshold * (len(own) + len(template))
+                    whole = self.matches(len(own & template), len(own), len(template))
                     at = line_of[first]
                     out.setdefault(name, (name, -score, at, line_of[end - 1] + 1 - at, whole))
 
