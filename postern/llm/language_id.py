@@ -7,9 +7,11 @@ The network is trained here, in numpy, by backpropagation through time on all po
 sampled windows, with Adam.
 
 Learning looks only at text and lang of documents whose crc32(doc_id as text) mod 4 is not 2 and
-whose lang is not null.  The sample is bounded: at most `PER_LANGUAGE` documents of each language,
-those with the least hashes of doc_id, of each at most `SLICE` characters from a place that the
-hash gives, and at most `MOST_LANGUAGES` languages.  Predictions read the whole of every text.
+whose lang is not null.  The sample is bounded twice: at most `PER_LANGUAGE` documents of each language,
+those with the least hashes of doc_id, are cut into windows from begin to end, and of the windows of a
+language at most `WINDOWS` are learned from, those with the least hashes, wherever in a text they lie.
+With so many languages that these would be more than `MOST_WINDOWS`, each has its share, one at least; every
+language that occurs is learned.  Predictions read the whole of every text.
 The sample and the seed are fixed, so reruns agree.
 
 A null text, or one without a letter, is `und` with score 0; so is every text if there was nothing
@@ -27,15 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from postern.llm.common import remove, written_at
+
 PER_LANGUAGE = 600
-SLICE = 256
-MOST_LANGUAGES = 64
+WINDOWS = 2400
+MOST_WINDOWS = 400_000
 WINDOW = 64
 HIDDEN = 8
 STEPS = 160
 LANES = 256
-#: Windows that are labelled side by side.
+#: Windows that are labelled side by side, unless there are very many languages.
 WIDTH = 2048
+#: Probabilities (windows x positions x languages) that are held at a time.
+HELD = 1 << 23
 
 _LATIN = re.compile(rb"[A-Za-z]")
 
@@ -44,22 +50,29 @@ def held_out(df: DataFrame, id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[bytes, str]]:
-    """(slice of a text, its language), a bounded number."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(docs)).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if not counts:
-        return []
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
-    # Twice the quota by hash, so that what is ranked per language is small however large the language is.
-    rates = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1_000_000, 2_000_000 * per_language // n + 1))))
-    hashed = known.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000))).where(F.col("h") < rates[F.col("lang")])
-    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.greatest(F.lit(1), F.length("text") - SLICE)).cast("int") + 1
-    cut = hashed.select("lang", "h", "doc_id", F.substr("text", place, F.lit(SLICE)).alias("part"))
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "part"))
-    rows = cut.withColumn("n", order).where(F.col("n") <= per_language).select("part", "lang").collect()
-    return sorted((r["part"].encode(), r["lang"]) for r in rows)
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, windows: int = WINDOWS, most: int = MOST_WINDOWS) -> list[tuple[bytes, str]]:
+    """(window of a text, its language), a bounded number."""
+    scale = 1_000_000
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(docs))
+    known = known.select(F.col("lang").cast("string").alias("lang"), "doc_id", F.col("text").cast("string").cast("binary").alias("raw"))
+
+    def least(rows: DataFrame, keys: list[str], sizes: DataFrame, quota: int) -> DataFrame:
+        """At most quota rows of each lang.  Over twice the quota by hash first, so that what is ranked is small however large a language is."""
+        rate = F.floor(F.lit(scale * (2.0 * quota + 20)) / F.col("total")) + 1
+        hashed = rows.join(sizes.withColumnRenamed("lang", "__lang"), F.col("lang") == F.col("__lang")).withColumn("h", F.pmod(F.xxhash64(*keys, F.lit(7)), F.lit(scale)))
+        order = F.row_number().over(Window.partitionBy("lang").orderBy("h", *keys))
+        return hashed.where(F.col("h") < rate).withColumn("n", order).where(F.col("n") <= quota).drop("__lang", "total", "h", "n")
+
+    chosen = least(known, ["doc_id", "raw"], known.groupBy("lang").agg(F.count("*").alias("total")), per_language)
+    chosen, path = written_at(chosen, "languages")
+    n_windows = F.ceil(F.octet_length("raw") / F.lit(WINDOW)).cast("int")
+    cut = chosen.where(n_windows > 0).select("lang", "doc_id", "raw", F.explode(F.sequence(F.lit(0), n_windows - 1)).alias("at"))
+    cut = cut.select("lang", "doc_id", "at", F.substring("raw", F.col("at") * WINDOW + 1, F.lit(WINDOW)).alias("part"))
+    sizes = chosen.groupBy("lang").agg(F.sum(n_windows).alias("total"))
+    quota = max(1, min(windows, most // max(1, sizes.count())))
+    rows = least(cut, ["doc_id", "at", "part"], sizes.where("total > 0"), quota).select("part", "lang").collect()
+    remove(docs.sparkSession, path)
+    return sorted((bytes(r["part"]), r["lang"]) for r in rows)
 
 
 def windows_of(raw: bytes) -> np.ndarray:
@@ -168,10 +181,11 @@ def train(examples: list[tuple[bytes, str]], steps: int = STEPS, seed: int = 5)
         parts = [raw for raw, x in examples if x == lang and raw]
         pools.append(np.concatenate([windows_of(raw) for raw in parts]) if parts else np.zeros((1, WINDOW), np.uint8))
     net, rng = Network(len(languages), seed=seed), np.random.default_rng(seed)
+    lanes = max(8, min(LANES, HELD // (WINDOW * len(languages))))
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     for step in range(1, steps + 1):
-        labels = rng.integers(len(languages), size=LANES)
+        labels = rng.integers(len(languages), size=lanes)
         windows = np.stack([pools[k][rng.integers(len(pools[k]))] for k in labels])
         mask = windows > 0
         mask[:, 0] = True
@@ -188,16 +202,17 @@ def train(examples: list[tuple[bytes, str]], steps: int = STEPS, seed: int = 5)
 def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
     """Mean probabilities over all positions of each text; texts must not be empty."""
     sums = np.zeros((len(texts), len(net.p["b"])))
+    width = max(8, min(WIDTH, HELD // (WINDOW * len(net.p["b"]))))
     waiting, owners, held = [], [], 0
 
     def label() -> None:
         nonlocal waiting, owners, held
         windows, owner = np.concatenate(waiting), np.concatenate(owners)
-        for a in range(0, len(windows), WIDTH):
-            part, own = windows[a : a + WIDTH], owner[a : a + WIDTH]
+        for a in range(0, len(windows), width):
+            part, own = windows[a : a + width], owner[a : a + width]
             probs = net.probabilities(part)
             # Only a text's last window is padded, and padding is at its end.
-            real = np.arange(WINDOW)[:, None] < lengths[a : a + WIDTH][None, :]
+            real = np.arange(WINDOW)[:, None] < lengths[a : a + width][None, :]
             np.add.at(sums, own, np.einsum("tlk,tl->lk", probs, real))
         waiting, owners, held = [], [], 0
 
@@ -211,7 +226,7 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
         size[-1] = len(raw) - WINDOW * (len(w) - 1)
         sizes.append(size)
         held += len(w)
-        if held >= 8 * WIDTH or i == len(texts) - 1:
+        if held >= 8 * width or i == len(texts) - 1:
             lengths = np.concatenate(sizes)
             sizes = []
             label()

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
@@ -59,10 +60,56 @@ def test_held_out_accuracy_and_fold(spark):
     assert all(again[i] == got[i].lang_pred for i in again)
 
 
-def test_sample_is_bounded(spark):
-    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('ab cd ', 200) AS text", "if(id % 3 = 0, 'xa', 'xb') AS lang")
-    got = lid.sample(docs, per_language=50)
-    assert 60 <= len(got) <= 100 and all(len(t) <= lid.SLICE for t, _ in got)
+def test_sample_is_bounded_and_comes_from_whole_texts(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat(repeat('ab cd ', 200), 'the end of text ', id) AS text", "if(id % 3 = 0, 'xa', 'xb') AS lang")
+    got = lid.sample(docs, per_language=50, windows=400)
+    assert 700 < len(got) <= 800 and all(len(t) <= lid.WINDOW for t, _ in got)
+    assert any(b"the end of text" in t for t, _ in got) and len({lang for _, lang in got}) == 2
+    everything = lid.sample(docs.where("doc_id < 40"), per_language=50, windows=10_000)
+    whole = {r.doc_id: r.text.encode() for r in docs.where("doc_id < 40").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    assert sorted(t for t, _ in everything) == sorted(raw[a : a + lid.WINDOW] for raw in whole.values() for a in range(0, len(raw), lid.WINDOW))
+    assert len(lid.sample(docs, per_language=50, windows=400, most=30)) == 30
+
+
+def test_any_number_of_languages(spark):
+    """More labels than a bounded sample has room for; each is learned, and predictions are among them."""
+    docs = spark.range(600).selectExpr("id AS doc_id", "concat('text number ', id) AS text", "concat('lang ', id % 150) AS lang")
+    langs, net = lid.train(lid.sample(docs, most=100), steps=2)
+    assert len(langs) == 150 == len(net.p["b"])
+    assert {r.lang_pred for r in lid.predict(docs, langs, net).collect()} <= set(langs)
+
+
+def plain_probabilities(p, raw):
+    """The network written out for one window, number by number."""
+    h = p["c"].shape[1]
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    states = []
+    for way, places in ((0, range(len(raw))), (1, range(len(raw) - 1, -1, -1))):
+        state, mine = [0.0] * h, {}
+        for t in places:
+            x = p["x"][raw[t] + 256 * way]
+            gate = [sigmoid(x[j] + sum(state[i] * p["u"][way][i][j] for i in range(h))) for j in range(2 * h)]
+            past = [sum(state[i] * p["c"][way][i][j] for i in range(h)) for j in range(h)]
+            new = [math.tanh(x[2 * h + j] + gate[h + j] * past[j]) for j in range(h)]
+            state = [new[j] + gate[j] * (state[j] - new[j]) for j in range(h)]
+            mine[t] = state
+        states.append(mine)
+    out = []
+    for t in range(len(raw)):
+        logits = [p["b"][k] + sum(states[w][t][i] * p["o"][w][i][k] for w in (0, 1) for i in range(h)) for k in range(len(p["b"]))]
+        total = sum(math.exp(x) for x in logits)
+        out.append([math.exp(x) / total for x in logits])
+    return out
+
+
+def test_predictions_equal_a_plain_forward_pass():
+    net, rng = lid.Network(4), random.Random(3)
+    for raw in (b"a", text(rng, "xb", 2).encode(), text(rng, "xc", 40).encode()):
+        rows = []
+        for a in range(0, len(raw), lid.WINDOW):
+            padded = raw[a : a + lid.WINDOW].ljust(lid.WINDOW, b"\0")
+            rows += plain_probabilities(net.p, padded)[: len(raw) - a]
+        assert np.allclose(lid.pooled(net, [raw])[0], np.mean(rows, axis=0), atol=1e-4)
 
 
 def test_edges(docs, none):
