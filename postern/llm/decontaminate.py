@@ -10,10 +10,11 @@ document is hit wherever one of these windows occurs in it, word for word.  The
   start, and it must lie within the document;
 * what is left is compared word by word, so hash collisions cost time but are never reported.
 
-The index of a benchmark is handed to all tasks, so its size is checked: a benchmark larger than
-`block_bytes` of text is cut into blocks of about that size, each joined with all documents in
-turn, and the hits of a document are merged over the blocks.  Documents are never shuffled; with
-several blocks only the hit places of each are.
+The index of a benchmark is broadcast, so its size is checked: a benchmark larger than `block_bytes` of text is cut
+into blocks of about that size, and a block whose built index is larger than `BUILT_BYTES` is halved again (a long item
+between its windows).  Each block is joined with all documents in a job of its own, so that a task has one index at a
+time, and its broadcast is released.  Documents are never shuffled; with several blocks only the hit places of each are,
+and the stage that filters reads documents once more against the hashes of the texts that were hit.
 
 Null texts have no words.  An item without words is ignored; items that repeat an id count once,
 and a null item_id counts as the empty string.  Without documents the result is empty, without
@@ -30,10 +31,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 8_000_000
+from postern.llm.common import written
+
+BLOCK_BYTES = 4_000_000
+BUILT_BYTES = 128_000_000
+#: Words of an item that are indexed together.
+PIECE = 100_000
 SHINGLE = 3
 #: Words of documents that are looked at together.
 BATCH_WORDS = 1_000_000
@@ -56,10 +62,20 @@ class Index:
     numbers: dict[bytes, int]
     windows: np.ndarray  # padded with 0
     lengths: np.ndarray
-    owners: list[list[str]]  # item ids by window
+    items: list[str]  # sorted
+    owned: np.ndarray  # places in items, window by window
+    starts: np.ndarray  # where each window's begin, and the end
     shingles: dict[int, np.ndarray]  # length of shingle -> its sorted hashes
     prefix: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] | None = None  # hashes, first entry of each, windows, offsets
 
+    def owners(self, window: int) -> list[str]:
+        return [self.items[k] for k in self.owned[self.starts[window] : self.starts[window + 1]].tolist()]
+
+    def nbytes(self) -> int:
+        """What the index takes in memory, about; a word of the dictionary is counted as 150 bytes."""
+        arrays = [self.windows, self.lengths, self.owned, self.starts, *self.shingles.values()]
+        return sum(a.nbytes for a in arrays) + 150 * len(self.numbers) + 24 * len(self.windows) + sum(map(len, self.items))
+
 
 def mixed(ids: np.ndarray, length: int) -> np.ndarray:
     """A hash of every run of `length` numbers; 0 stands for runs that hold a foreign word."""
@@ -83,16 +99,20 @@ def build(items: list[tuple[object, bytes]], size: int) -> Index:
         for i in range(max(1, len(ids) - size + 1) if ids else 0):
             owners[tuple(ids[i : i + size])].add(name)
     lengths = np.array([len(w) for w in owners], np.int64)
-    windows = np.zeros((len(owners), size), np.uint64)
+    windows = np.zeros((len(owners), size), np.uint32)
     for row, w in zip(windows, owners, strict=True):
         row[: len(w)] = w
+    names = sorted({x for own in owners.values() for x in own})
+    place = {x: k for k, x in enumerate(names)}
+    owned = np.array([place[x] for own in owners.values() for x in sorted(own)], np.int32)
+    starts = np.cumsum([0, *(len(own) for own in owners.values())])
     shingles = {}
     for length in range(1, SHINGLE + 1):
         mine = windows[np.minimum(lengths, SHINGLE) == length]
         if len(mine):
-            found = np.unique(np.concatenate([mixed(row, length) for row in mine]))
+            found = np.unique(np.concatenate([mixed(row.astype(np.uint64), length) for row in mine]))
             shingles[length] = found[found > 0]
-    return Index(numbers, windows, lengths, [sorted(x) for x in owners.values()], shingles)
+    return Index(numbers, windows, lengths, names, owned, starts, shingles)
 
 
 def pick_rarest(index: Index, counts: dict[int, np.ndarray]) -> None:
@@ -102,7 +122,7 @@ def pick_rarest(index: Index, counts: dict[int, np.ndarray]) -> None:
         rows = np.flatnonzero(np.minimum(index.lengths, SHINGLE) == length)
         chosen, offsets = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
         for k, r in enumerate(rows):
-            at = np.searchsorted(hashes, mixed(index.windows[r, : index.lengths[r]], length))
+            at = np.searchsorted(hashes, mixed(index.windows[r, : index.lengths[r]].astype(np.uint64), length))
             offsets[k] = best = int(np.argmin(counts[length][at]))
             chosen[k] = at[best]
         order = np.argsort(chosen, kind="stable")
@@ -192,7 +212,7 @@ def hits(docs: DataFrame, index: Broadcast, id_col: str) -> DataFrame:
                 for row, begin, window in matches(own, sizes, ids):
                     for r, b, w in zip(row.tolist(), begin.tolist(), window.tolist(), strict=True):
                         spans[r].append((b, b + int(own.lengths[w])))
-                        items[r].update(own.owners[w])
+                        items[r].update(own.owners(w))
                 part = batch.slice(first, len(sizes))
                 flat = [[x for span in merged(s) for x in span] for s in spans]
                 yield pa.RecordBatch.from_arrays(
@@ -214,22 +234,54 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, size: int, block_bytes: int) -> Iterator[Index]:
+def pieces(item: object, raw: bytes, size: int, most: int) -> Iterator[tuple[object, bytes]]:
+    """An item in parts of at most about `most` words that have all its windows between them."""
+    words = words_of(raw)
+    if len(words) <= most + size:
+        yield item, raw
+        return
+    for a in range(0, len(words) - size + 1, most):
+        yield item, b" ".join(words[a : a + most + size - 1])
+
+
+def built(items: list[tuple[object, bytes]], size: int, most_bytes: int) -> Iterator[Index]:
+    """The items' index, in halves of halves where it is too large."""
+    index = build(items, size)
+    if index.nbytes() <= most_bytes or len(items) < 2:
+        yield index
+    else:
+        del index
+        for half in (items[: len(items) // 2], items[len(items) // 2 :]):
+            yield from built(half, size, most_bytes)
+
+
+def blocks(benchmark: DataFrame, size: int, block_bytes: int, built_bytes: int = BUILT_BYTES, piece: int = PIECE) -> Iterator[Index]:
     """The benchmark's index, in blocks of about block_bytes of text."""
     rows = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for k in range(n):
-        yield build([(r["item_id"], r["text"].encode()) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()], size)
+        mine = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toLocalIterator()
+        yield from built([p for r in mine for p in pieces(r["item_id"], r["text"].encode(), size, piece)], size, built_bytes)
+
+
+def prepared(docs: DataFrame, index: Index) -> Broadcast:
+    """The index with its prefixes chosen, broadcast."""
+    context = docs.sparkSession.sparkContext
+    if len(index.lengths):
+        plain = context.broadcast(index)
+        counts = shingle_counts(docs, plain)
+        plain.destroy()
+    else:
+        counts = {}
+    pick_rarest(index, counts)
+    return context.broadcast(index)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id, n_words, n_hit, n_items, items_sha256 and contaminated of every document row."""
-    context, found = docs.sparkSession.sparkContext, []
-    for index in blocks(benchmark, size, block_bytes):
-        counts = shingle_counts(docs, context.broadcast(index)) if index.owners else {}
-        pick_rarest(index, counts)
-        found.append(hits(docs, context.broadcast(index), id_col))
+    # An index is let go before the next one is built.
+    found = [hits(docs, prepared(docs, index), id_col) for index in blocks(benchmark, size, block_bytes)]
     if len(found) == 1:
         rows = found[0].withColumn("copies", F.lit(1).cast("long"))
     else:
@@ -259,25 +311,55 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "d
     return out.select(id_col, "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def filter_stage(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """The rows of docs without any hit, with all their columns; one map per block of the benchmark."""
-    context = docs.sparkSession.sparkContext
-    for index in blocks(benchmark, size, BLOCK_BYTES):
-        if not index.owners:
-            continue
-        pick_rarest(index, shingle_counts(docs, context.broadcast(index)))
-        docs = docs.mapInArrow(_cleaner(context.broadcast(index)), docs.schema)
-    return docs
+def filter_stage(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = BLOCK_BYTES, built_bytes: int = BUILT_BYTES) -> DataFrame:
+    """The rows of docs without any hit, with all their columns."""
+    waiting, hit = None, []
+    for index in blocks(benchmark, size, block_bytes, built_bytes):
+        if waiting is not None:
+            hit.append(_hit_texts(docs, waiting))
+        waiting = prepared(docs, index) if len(index.lengths) else None
+    if waiting is None and not hit:
+        return docs
+    if not hit:  # one block: the rows themselves go through its map
+        return docs.mapInArrow(_cleaner(waiting), docs.schema)
+    if waiting is not None:
+        hit.append(_hit_texts(docs, waiting))
+    texts = hit[0]
+    for other in hit[1:]:
+        texts = texts.unionByName(other)
+    # The row travels as one value, so its columns can have any names.
+    rows = docs.select(F.struct("*").alias("row"), *_text_key(F.col("text").cast("string")))
+    return rows.join(texts.distinct(), ["h1", "h2"], "left_anti").select("row.*")
+
+
+def _text_key(text: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a text; null and all texts that are no hit never meet one."""
+    return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")
+
+
+def _hit_texts(docs: DataFrame, index: Broadcast) -> DataFrame:
+    """h1, h2 of the texts that one block hits, as a table; the block's broadcast is released."""
+    text = F.col("text").cast("string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _cleaner(index, True)(batches):
+            yield part.select(["h1", "h2"])
+
+    out = written(docs.select(text.alias("text"), *_text_key(text)).mapInArrow(run, "h1 long, h2 long").distinct(), "hit-texts")
+    index.destroy()
+    return out
+
 
+def _cleaner(index: Broadcast, hit: bool = False):
+    """Of batches with a column text, the rows without a hit, or those with one."""
 
-def _cleaner(index: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             for first, sizes, ids in _numbered(batch, batch.schema.get_field_index("text"), index.value.numbers):
                 for row, _, _ in matches(index.value, sizes, ids):
                     keep[first + row] = False
-            yield batch.filter(pa.array(keep))
+            yield batch.filter(pa.array(keep != hit))
 
     return run
 

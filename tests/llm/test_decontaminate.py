@@ -52,11 +52,26 @@ def test_hits_equal_brute_force(spark, cases, block_bytes):
     got = rows(decontaminate.find(docs, benchmark, block_bytes=block_bytes), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert got == sorted(((d, *brute(t, items)) for d, t in texts), key=repr)
     assert sum(r[-1] for r in got) > 20 and sum(not r[-1] for r in got) > 10
-    kept = decontaminate.filter_stage(docs, benchmark)
+    kept = decontaminate.filter_stage(docs, benchmark, block_bytes=block_bytes, built_bytes=128_000_000 if block_bytes > 150 else 4000)
     assert kept.columns == docs.columns
     assert rows(kept, "doc_id", "text") == sorted(((d, t) for d, t in texts if not brute(t, items)[-1]), key=repr)
 
 
+def windows(index):
+    back = {v: k for k, v in index.numbers.items()}
+    return {(tuple(back[x] for x in row[:n].tolist()), o) for k, (row, n) in enumerate(zip(index.windows, index.lengths.tolist())) for o in index.owners(k)}
+
+
+def test_large_items_and_indexes_are_cut_between_windows(spark, cases):
+    items, _ = cases
+    long = [(i, t) for i, t in items if t] + [(77, " ".join(f"w{k % 91}" for k in range(1000)))]
+    want = windows(decontaminate.build([(i, t.encode()) for i, t in long], 10))
+    benchmark = spark.createDataFrame(long, "item_id long, text string")
+    parts = list(decontaminate.blocks(benchmark, 10, 10**9, built_bytes=20_000, piece=30))
+    assert len(parts) > 3 and all(p.nbytes() <= 20_000 for p in parts)
+    assert set().union(*map(windows, parts)) == want
+
+
 def test_hash_collisions_are_not_hits(spark, cases, monkeypatch):
     import numpy as np
 
