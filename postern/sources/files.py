@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from postern.errors import ConcurrentWriteError
@@ -13,7 +14,7 @@ from postern.errors import ConcurrentWriteError
 class Files:
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.base = base.rstrip("/")
-        self._jvm = spark.sparkContext._jvm
+        self._jvm, self._gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._path("").getFileSystem(self._conf)
 
@@ -43,7 +44,10 @@ class Files:
     def create_json(self, name: str, value: Any) -> None:
         """Creates the file, or ConcurrentWriteError if it exists: the one commit point of a table.
 
-        The text is complete before the name exists, because it is written elsewhere and renamed.
+        The text is complete before the name exists, because it is written to a draft that is then given the
+        name.  That step is exclusive: a hard link on local disks, elsewhere a rename that the file system's
+        own metadata refuses if the name is taken (HDFS and file systems with its rename).  Stores without
+        such a rename cannot hold tables that several writers change.
         """
         target = self._path(name)
         parent, draft = target.getParent(), self._path(f"{name}.{self._jvm.java.util.UUID.randomUUID()}.draft")
@@ -53,7 +57,24 @@ class Files:
             stream.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         finally:
             stream.close()
-        # rename() must not replace; a file system that would is told apart by looking first.
-        if self._fs.exists(target) or not self._fs.rename(draft, target):
+        try:
+            self._name(draft, target)
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            raise ConcurrentWriteError(f"{name} was written by another") from None
+        finally:
             self._fs.delete(draft, False)
-            raise ConcurrentWriteError(f"{name} was written by another")
+
+    def _name(self, draft: Any, target: Any) -> None:
+        """Gives the draft the target's name too, or fails if there is such a name."""
+        if self._fs.getScheme() == "file":
+            at = lambda p: self._jvm.java.nio.file.Path.of(self._fs.makeQualified(p).toUri().getPath(), self._none(self._jvm.java.lang.String))
+            self._jvm.java.nio.file.Files.createLink(at(target), at(draft))
+        else:
+            options = self._none(self._jvm.org.apache.hadoop.fs.Options.Rename)
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self._conf).rename(draft, target, options)
+
+    def _none(self, kind: Any) -> Any:
+        """An empty array for a method with a variable number of arguments."""
+        return self._gateway.new_array(kind, 0)

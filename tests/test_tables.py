@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import random
+import subprocess
+import sys
 
 import pytest
 
@@ -12,6 +15,7 @@ from postern.plans.predicate import P
 from postern.sources.namespace import INDEX_ONLY, Namespace
 from postern.sources.schema import IndexDecl, StateSchema
 from postern.sources.table import Table
+from tests.conftest import ROOT
 
 KIND = "key string, city string, salary int, tags array<string>"
 
@@ -169,3 +173,116 @@ def test_namespaces_are_apart(spark, tmp_path):
     assert b.data("job").count() == 0
     with pytest.raises(SchemaError):
         a.register(StateSchema.of("job", "key", frame(spark), salary="range"))
+
+
+RACER = """
+import sys, time
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+from postern.errors import ConcurrentWriteError
+from postern.sources.files import Files
+files, won = Files(spark, sys.argv[2]), []
+print("ready", flush=True)
+sys.stdin.readline()
+for n in range(150):
+    try:
+        files.create_json(f"manifests/{n:012d}.json", {"by": sys.argv[3], "n": n})
+        won.append(n)
+    except ConcurrentWriteError:
+        pass
+print("won", *won, flush=True)
+spark.stop()
+"""
+
+
+def test_two_processes_never_share_a_version(tmp_path):
+    base = f"file://{tmp_path}/raced"
+    racers = [subprocess.Popen([sys.executable, "-c", RACER, str(ROOT), base, str(k)], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True) for k in range(2)]
+    try:
+        for r in racers:
+            assert any(line == "ready\n" for line in iter(r.stdout.readline, ""))
+        for r in racers:
+            r.stdin.write("go\n")
+            r.stdin.flush()
+        won = [next(x for x in r.communicate(timeout=120)[0].splitlines() if x.startswith("won")).split()[1:] for r in racers]
+    finally:
+        for r in racers:
+            r.kill()
+    assert sorted(map(int, won[0] + won[1])) == list(range(150))
+    for k, mine in enumerate(won):
+        for n in mine:
+            assert json.loads((tmp_path / "raced" / "manifests" / f"{int(n):012d}.json").read_text()) == {"by": str(k), "n": int(n)}
+    assert not list((tmp_path / "raced" / "manifests").glob("*.draft"))
+
+
+def test_a_filter_reaches_the_snapshot_and_it_is_not_shuffled(spark, table):
+    table.upsert(frame(spark, *((f"k{i}", "Oslo" if i % 2 else "Rome", i, []) for i in range(50))))
+    table.compact()
+    table.upsert(frame(spark, ("k1", "Rome", 1, []), ("k60", "Oslo", 60, [])))
+    table.remove(spark.createDataFrame([("k3",)], "key string"))
+    found = table.current().where("city = 'Oslo'")
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = next(k for k, x in enumerate(lines) if "FileScan" in x and "EqualTo(city,Oslo)" in x)
+    above = lines[max(k for k in range(at) if "Union" in lines[k]) : at]
+    assert any("BroadcastHashJoin" in x and "LeftAnti" in x for x in above)
+    assert not any("Exchange" in x or "Aggregate" in x for x in above)
+    assert {r.key for r in found.collect()} == {*(f"k{i}" for i in range(5, 50, 2)), "k60"}
+
+
+def test_a_blind_write_that_loses_is_made_again(spark, table, monkeypatch):
+    table.upsert(frame(spark, ("a", "x", 1, [])))
+    real, raced = Table._delta, []
+
+    def slow(self, *args):
+        name = real(self, *args)
+        if not raced:
+            raced.append(1)
+            other = Table(spark, table.files.base, table.schema)
+            other.upsert(frame(spark, ("b", "y", 2, [])))
+        return name
+
+    monkeypatch.setattr(Table, "_delta", slow)
+    table.upsert(frame(spark, ("a", "z", 3, [])))
+    assert {r.key: r.city for r in table.current().collect()} == {"a": "z", "b": "y"}
+    assert table.manifest().version == 3 and len(table.files.names("deltas")) == 3
+
+
+def test_a_lost_compaction_is_no_lost_write(spark, table, monkeypatch):
+    import postern.sources.table as module
+
+    monkeypatch.setattr(module, "COMPACT_AFTER", 2)
+
+    def lost(self):
+        raise ConcurrentWriteError("another was first")
+
+    monkeypatch.setattr(Table, "compact", lost)
+    assert [table.upsert(frame(spark, (k, "x", 1, []))) for k in "abc"] == ["1", "2", "3"]
+    assert table.current().count() == 3
+
+
+def test_old_manifests_go_with_the_files(spark, table):
+    for k in "abcd":
+        table.upsert(frame(spark, (k, "x", 1, [])))
+    table.compact()
+    table.vacuum()
+    assert table.files.names("manifests") == ["000000000005.json"] and table.files.names("deltas") == []
+    assert table.current().count() == 4 and table.upsert(frame(spark, ("e", "x", 1, []))) == "6"
+
+
+def test_entries_have_a_capacity(spark, tmp_path, monkeypatch):
+    import postern.sources.table as module
+
+    kind = "key string, note string, tags array<string>"
+    schema = StateSchema.of("noted", "key", spark.createDataFrame([], kind), note="hash", tags="hash")
+    t = Table(spark, f"file://{tmp_path}/noted", schema)
+    row = lambda note, tags: spark.createDataFrame([("a", note, tags)], kind)
+    t.upsert(row("n" * (module.ENTRY_BYTES - len("noted/note")), None))
+    for wrong in (row("n" * module.ENTRY_BYTES, []), row(None, ["t" * module.ENTRY_BYTES]), row("n", [chr(97 + i) * 60_000 for i in range(10)])):
+        with pytest.raises(Exception, match="capacity"):
+            t.upsert(wrong)
+    monkeypatch.setattr(module, "ENTRIES_PER_RECORD", 3)
+    with pytest.raises(Exception, match="capacity"):
+        t.upsert(row("n", ["a", "b", "c"]))
+    with pytest.raises(SchemaError):
+        StateSchema.of("s" * 1025, "key", spark.createDataFrame([], kind))
