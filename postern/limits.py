@@ -28,7 +28,10 @@ REPLAY_LIMIT = 4096
 
 @dataclass(frozen=True)
 class QueryOptions:
-    """Ceilings of object terminals; DataFrame terminals are lazy and have none."""
+    """Ceilings of object terminals; DataFrame terminals are lazy and have none.
+
+    rounds are the pages of one walk, facet_items the different values that a facet may count.
+    """
 
     page_size: int = 128
     page_bytes: int = 1024 * 1024

@@ -146,10 +146,12 @@ class Query:
         return Page(items, more)
 
     def pages(self, size: int | None = None) -> Iterator[Page]:
-        page = self.page(size)
+        page, rounds = self.page(size), 1
         yield page
         while page.token:
-            page = self.page(size, page.token)
+            if rounds == self.namespace.options.rounds:
+                raise QueryLimitError(f"more than {rounds} pages; go on from the last page's token")
+            page, rounds = self.page(size, page.token), rounds + 1
             yield page
 
     def _page_size(self, size: int | None) -> int:
@@ -216,9 +218,11 @@ class Query:
         return top
 
     def value_counts(self, name: str, top: int | None = None) -> ValueCounts:
-        top = self._top(self.namespace.options.facet_top_n if top is None else top)
+        top, most = self._top(self.namespace.options.facet_top_n if top is None else top), self.namespace.options.facet_items
         with self.namespace.metrics.timed("value_counts"):
-            rows = self.counts_df(name).limit(top + 1).collect()
+            rows = self.counts_df(name).limit(max(top, most) + 1).collect()
+        if len(rows) > most:
+            raise QueryLimitError(f"more than {most} values; counts_df() has no such limit")
         counts = [(r["value"], r["n"]) for r in rows]
         self._weigh((v for v, _ in counts), self.namespace.options.facet_bytes)
         return ValueCounts(counts[:top], True, counts[top][1] if len(counts) > top else 0)
@@ -232,10 +236,13 @@ class Query:
         owner nominated all its values, or if the last count exceeds U.
         """
         index, top = self._facet(name), self._top(top)
-        data = self.namespace.data(self.state).where(F.col(index.column).isNotNull()).select(F.col(index.column).alias("value"), owner.alias("owner"))
+        # Nominations, counts and the bound are of one version of the state.
+        pinned = replace(self, namespace=self.namespace.pinned(self.state))
+        state = pinned.namespace.data(self.state)
+        data = state.where(F.col(index.column).isNotNull()).select(F.col(index.column).alias("value"), owner.alias("owner"))
         raw = data.groupBy("owner", "value").agg(F.count("*").alias("raw"))
         # The number of owners is that of the whole state, also of those without a value of this index.
-        owners = self.namespace.data(self.state).select(F.count_distinct(owner).alias("owners"))
+        owners = state.select(F.count_distinct(owner).alias("owners"))
         k = F.least(F.lit(page_size), F.greatest(F.lit(1), F.ceil(F.lit(top) / F.col("owners"))))
         ranked = raw.withColumn("place", F.row_number().over(Window.partitionBy("owner").orderBy("value"))).crossJoin(F.broadcast(owners)).withColumn("k", k)
         bound = ranked.agg(
@@ -243,7 +250,7 @@ class Query:
             F.coalesce(F.max(F.when(F.col("place") > F.col("k"), 1)), F.lit(0)).alias("cut"),
         )
         nominated = ranked.where("place <= k").select("value").distinct()
-        counts = self._values(index).groupBy("value").agg(F.count("*").alias("n")).join(nominated, "value", "left_semi")
+        counts = pinned._values(index).groupBy("value").agg(F.count("*").alias("n")).join(nominated, "value", "left_semi")
         # One row per nominated value, at most owners * k of them.
         placed = counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "value")))
         ends = placed.agg(F.max(F.when(F.col("rank") == top, F.col("n"))).alias("last"), F.coalesce(F.max(F.when(F.col("rank") > top, F.col("n"))), F.lit(0)).alias("beyond"))
@@ -254,6 +261,7 @@ class Query:
     def approximate_counts(self, name: str, top: int, owner: Column) -> ValueCounts:
         with self.namespace.metrics.timed("approximate_counts"):
             rows = sorted(self.approximate_counts_df(name, top, owner).collect(), key=lambda r: (-r["n"], r["value"]))
+        self._weigh((r["value"] for r in rows), self.namespace.options.facet_bytes)
         if not rows:
             return ValueCounts([], True, 0)
         return ValueCounts([(r["value"], r["n"]) for r in rows], rows[0]["is_exact"], rows[0]["maximum_omitted"])

@@ -1,6 +1,7 @@
 """Continuation tokens: sealed, bound to what they continue, and checked before they are used.
 
-The payload is sealed by AES-GCM with Spark's own functions.  The provider, the kind of page, the
+The payload is sealed by AES-GCM in the driver's Java machine; neither key nor payload gets into a plan, and
+no job runs.  The provider, the kind of page, the
 query, the schema, the layout epoch and the page policy are bound into it: a token that cannot be
 opened is invalid, one that opens but belongs to something else is stale.
 """
@@ -9,15 +10,18 @@ from __future__ import annotations
 
 import base64
 import json
+import os
 from dataclasses import dataclass
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from postern.errors import InvalidArgumentError, InvalidContinuationError, StaleContinuationError
 
 VERSION = 1
+#: Bytes of the random number that each token begins with.
+NONCE = 12
 
 
 @dataclass(frozen=True)
@@ -56,13 +60,20 @@ class TokenCodec:
     def _aad(self, key_id: str) -> bytes:
         return f"postern-token-{VERSION}/{key_id}".encode()
 
+    def _cipher(self, encrypt: bool, key_id: str, nonce: bytes) -> Any:
+        java = self.spark.sparkContext._jvm
+        modes = java.javax.crypto.Cipher
+        cipher = modes.getInstance("AES/GCM/NoPadding")
+        key = java.javax.crypto.spec.SecretKeySpec(bytearray(self.ring.keys[key_id]), "AES")
+        cipher.init(modes.ENCRYPT_MODE if encrypt else modes.DECRYPT_MODE, key, java.javax.crypto.spec.GCMParameterSpec(128, bytearray(nonce)))
+        cipher.updateAAD(bytearray(self._aad(key_id)))
+        return cipher
+
     def protect(self, binding: Binding, position: Any) -> str:
         body = json.dumps(binding.fields() | {"v": VERSION, "at": position}, sort_keys=True, separators=(",", ":")).encode()
-        key_id = self.ring.current
-        sealed = self.spark.range(1).select(
-            F.aes_encrypt(F.lit(bytearray(body)), F.lit(bytearray(self.ring.keys[key_id])), F.lit("GCM"), F.lit("DEFAULT"), F.lit(bytearray()), F.lit(bytearray(self._aad(key_id)))).alias("c")
-        ).first()["c"]
-        token = f"{key_id}.{base64.urlsafe_b64encode(bytes(sealed)).decode().rstrip('=')}"
+        key_id, nonce = self.ring.current, os.urandom(NONCE)
+        sealed = nonce + bytes(self._cipher(True, key_id, nonce).doFinal(bytearray(body)))
+        token = f"{key_id}.{base64.urlsafe_b64encode(sealed).decode().rstrip('=')}"
         if len(token) > self.most_bytes:
             raise InvalidArgumentError(f"a token of {len(token)} bytes; at most {self.most_bytes} are allowed")
         return token
@@ -78,11 +89,14 @@ class TokenCodec:
             sealed = base64.b64decode(rest + "=" * (-len(rest) % 4), altchars=b"-_", validate=True)
         except ValueError:
             raise InvalidContinuationError("not a token") from None
-        opened = self.spark.range(1).select(
-            F.try_aes_decrypt(F.lit(bytearray(sealed)), F.lit(bytearray(self.ring.keys[key_id])), F.lit("GCM"), F.lit("DEFAULT"), F.lit(bytearray(self._aad(key_id)))).alias("b")
-        ).first()["b"]
-        if opened is None:
-            raise InvalidContinuationError("the token does not open")
+        if len(sealed) <= NONCE:
+            raise InvalidContinuationError("not a token")
+        try:
+            opened = self._cipher(False, key_id, sealed[:NONCE]).doFinal(bytearray(sealed[NONCE:]))
+        except Py4JJavaError as e:
+            if "javax.crypto" not in e.java_exception.getClass().getName():
+                raise
+            raise InvalidContinuationError("the token does not open") from None
         body = json.loads(bytes(opened))
         if body.get("v") != VERSION:
             raise InvalidContinuationError("a token of another version")

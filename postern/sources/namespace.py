@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from copy import copy
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,7 @@ class Namespace:
         self._schemas: dict[str, tuple[StateSchema, int]] = {}
         self._data: dict[str, Callable[[], DataFrame]] = {}
         self._tables: dict[str, Table] = {}
+        self._pins: dict[str, DataFrame] = {}
 
     @property
     def tokens(self) -> TokenCodec:
@@ -107,8 +109,17 @@ class Namespace:
         return state not in self._data
 
     def data(self, state: str) -> DataFrame:
+        if state in self._pins:
+            return self._pins[state]
         return self._data[state]() if state in self._data else self.table(state).current()
 
+    def pinned(self, state: str) -> Namespace:
+        """A namespace that reads the version of the state that is current now, whatever is written meanwhile."""
+        out = copy(self)
+        data = self.data(state)
+        out._pins = self._pins | {state: data}
+        return out
+
     def query(self, state: str) -> Query:
         self.schema(state)
         return Query(self, state)

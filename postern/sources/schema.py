@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from postern.errors import SchemaError
 from postern.functions.codecs import Codec, canonical_members, checked, codec_for
+from postern.limits import TYPE_BYTES
 
 HASH, RANGE = "hash", "range"
 
@@ -58,6 +59,8 @@ class StateSchema:
     def __post_init__(self) -> None:
         if not self.state:
             raise SchemaError("a state needs a name")
+        if len(self.state.encode()) > TYPE_BYTES:
+            raise SchemaError(f"the name of a state has at most {TYPE_BYTES} bytes")
         missing = [k for k in self.key if k not in self.struct.fieldNames()]
         if not self.key or missing:
             raise SchemaError(f"the key needs columns of the state; missing: {missing}")

@@ -10,10 +10,11 @@ from postern.limits import QueryOptions
 from postern.operators import hydrate
 from postern.operators.providers import FacetProvider, IdentifierProvider, PageProvider
 from postern.operators.query import find_df, range_df
-from postern.operators.tokens import KeyRing
+from postern.operators.tokens import Binding, KeyRing, TokenCodec
 from postern.plans.predicate import P
 from postern.sources.namespace import Namespace
 from postern.sources.schema import StateSchema
+from postern.sources.table import Table
 
 ROWS = [(f"k{i:03d}", ["Oslo", "London", None][i % 3], i % 7, i % 2 == 0, [f"t{i % 5}", "all"]) for i in range(60)]
 
@@ -204,3 +205,56 @@ def test_providers_and_metrics(ns):
     df, seen = ns.metrics.observed(ns.data("place"), "scan")
     df.collect()
     assert ns.metrics.record("scan", seen) == 60
+
+
+def test_tokens_leave_no_key_in_a_plan_and_run_no_job(spark):
+    ring = KeyRing({"k": bytes(range(32))}, "k")
+    codec, binding = TokenCodec(spark, ring), Binding("p", "ids", "q", "o", 1, "y")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    token = codec.protect(binding, [1, "x"])
+    assert codec.unprotect(token, binding) == [1, "x"] and token != codec.protect(binding, [1, "x"])
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup() == before
+    for wrong in (token[:-6], token[:4] + ("A" if token[4] != "A" else "B") + token[5:], "k.AAAA"):
+        with pytest.raises(InvalidContinuationError):
+            codec.unprotect(wrong, binding)
+    with pytest.raises(InvalidContinuationError):
+        TokenCodec(spark, KeyRing({"k": bytes(32)}, "k")).unprotect(token, binding)
+
+
+def test_a_value_that_became_nan_matches_no_more(spark):
+    data = spark.createDataFrame([(1, 5.0), (2, 6.0)], "id long, v double")
+    ns = Namespace(spark, "n")
+    ns.bind(StateSchema.of("s", "id", data, v="range"), data)
+    query = ns.query("s").where(P.v > 1.0)
+    later = spark.createDataFrame([(1, float("nan")), (2, 6.0)], "id long, v double")
+    assert [r.id for r in hydrate.recheck(query.ids_df(), later, ["id"], query.plan).collect()] == [2]
+
+
+def test_ceilings_of_facets_and_walks(spark):
+    data = spark.createDataFrame([(i, i % 7) for i in range(40)], "id long, v long")
+    ns = Namespace(spark, "n", options=QueryOptions(facet_items=6, rounds=3, page_size=8))
+    ns.bind(StateSchema.of("s", "id", data, v="range"), data)
+    with pytest.raises(QueryLimitError):
+        ns.query("s").value_counts("v", 2)
+    assert ns.query("s").where(P.v < 6).value_counts("v", 2).counts == [(0, 6), (1, 6)]
+    walk = ns.query("s").where(P.v >= 0).pages()
+    assert [len(next(walk).items) for _ in range(3)] == [8, 8, 8]
+    with pytest.raises(QueryLimitError):
+        next(walk)
+
+
+def test_a_facet_reads_one_version(spark, tmp_path):
+    kind = "key string, city string"
+    ns = Namespace(spark, "n", f"file://{tmp_path}")
+    ns.register(StateSchema.of("s", "key", spark.createDataFrame([], kind), city="hash"))
+    ns.writer("s").upsert(spark.createDataFrame([("a", "Oslo"), ("b", "Rome")], kind))
+    reads, real = [], Table.manifest
+    try:
+        Table.manifest = lambda self: reads.append(1) or real(self)
+        answer = ns.query("s").approximate_counts_df("city", 2, F.lit(0))
+        data_reads = len(reads)
+        ns.writer("s").upsert(spark.createDataFrame([("c", "Oslo"), ("d", "Wien")], kind))
+    finally:
+        Table.manifest = real
+    assert data_reads <= 3  # whether the schema is active, twice, and the one version that is read
+    assert sorted((r.value, r.n) for r in answer.collect()) == [("Oslo", 1), ("Rome", 1)]
