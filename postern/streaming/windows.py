@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postern.errors import InvalidArgumentError
+from postern.errors import ConcurrentWriteError, InvalidArgumentError
+from postern.sources.files import Files
 
 # Window lengths in minutes.
 WINDOWS = {"1d": 1440, "7d": 10080, "30d": 43200}
@@ -76,17 +77,40 @@ def nested(counts: DataFrame, counters: list[str]) -> Column:
 
 
 class Watermarks:
-    """Points up to which history may go, by kind; they only advance, and cleanup never passes them."""
+    """Points up to which history may go, by kind; they only advance, and cleanup never passes them.
 
-    def __init__(self, **start: int) -> None:
-        self._at = dict(start)
+    With files they are kept there, as numbered versions of which one writer creates each, so that they
+    outlive the driver and several drivers agree on them; without, they last as long as this object.
+    """
+
+    def __init__(self, files: Files | None = None, **start: int) -> None:
+        self._files, self._own = files, dict(start)
+        for kind, to in start.items():
+            self.advance(kind, to)
+
+    def _current(self) -> tuple[int, dict[str, int]]:
+        if self._files is None:
+            return 0, self._own
+        numbers = [int(n[:-5]) for n in self._files.names("watermarks") if n.endswith(".json")]
+        last = max(numbers, default=0)
+        return last, self._files.read_json(f"watermarks/{last:012d}.json") if last else {}
 
     def at(self, kind: str) -> int:
-        return self._at.get(kind, -1)
+        return self._current()[1].get(kind, -1)
 
     def advance(self, kind: str, to: int) -> int:
-        self._at[kind] = max(self.at(kind), to)
-        return self._at[kind]
+        while True:
+            number, now = self._current()
+            if self._files is None or now.get(kind, -1) >= to:
+                now[kind] = max(now.get(kind, -1), to)
+                return now[kind]
+            try:
+                self._files.create_json(f"watermarks/{number + 1:012d}.json", now | {kind: to})
+            except ConcurrentWriteError:
+                continue  # another driver was first; its version counts too
+            if number > 1:  # the last but one stays for readers that have just seen it
+                self._files.remove(f"watermarks/{number - 1:012d}.json")
+            return to
 
     def allow(self, kind: str, upto: int) -> int:
         if upto > self.at(kind):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from postern.errors import InvalidArgumentError
 from postern.plans.predicate import P
+from postern.sources.files import Files
 from postern.sources.namespace import Namespace
 from postern.sources.schema import StateSchema
 from postern.sources.table import Table
@@ -166,6 +167,38 @@ def test_watermarks_only_advance():
         w.allow("semantic", 0)
 
 
+def test_watermarks_outlive_their_driver(spark, tmp_path):
+    files = lambda: Files(spark, f"file://{tmp_path}/retention")
+    first, second = windows.Watermarks(files(), delivery=5), windows.Watermarks(files())
+    assert second.at("delivery") == 5 and second.advance("delivery", 9) == 9 and second.advance("semantic", 4) == 4
+    assert first.at("delivery") == 9 and first.advance("delivery", 7) == 9 and first.at("semantic") == 4
+    assert windows.Watermarks(files(), delivery=2).at("delivery") == 9
+    assert len(files().names("watermarks")) == 2
+
+
+def test_accounts_are_recalculated_when_they_are_due(spark, tmp_path):
+    kind = "user string, minute long, created long, engagement long"
+    b = spark.createDataFrame([("a", 100, 2, 0), ("a", 500, 1, 0), ("b", 100, 0, 3)], kind)
+    key, counters = ["user"], ["created", "engagement"]
+    counted, engaged = F.col("created") > 0, F.col("engagement") > 0
+    state = windows.trailing(b, key, 600, counters).join(windows.next_expiry(b, key, 600, counted, engaged), key)
+    accounts = Table(spark, f"file://{tmp_path}/accounts", StateSchema.of("account", "user", state, next_expiry="range"))
+    accounts.upsert(state)
+    now, times, seen = [600], iter([1540, 1541, 20_000, 50_000]), []
+
+    def wait(first):
+        seen.append(first)
+        now[0] = next(times, None)
+        return now[0] is not None
+
+    step = lambda at: stream.recalculate(accounts, b, at, counters, counted, engaged)
+    assert stream.keep_recalculated(accounts, step, lambda: now[0], wait) == 3
+    # The first created bucket leaves the day at 1540, the second at 1940 (found at 20000); engagement leaves at 43300.
+    assert seen == [1540, 1940, 1940, 43_300, None]
+    end = {r.user: r for r in accounts.current().collect()}
+    assert end["a"].created_30d == 0 and end["b"].engagement_30d == 0 and end["a"].next_expiry is None
+
+
 def test_buckets_expire_only_when_projected(spark):
     b = spark.createDataFrame([("a", 100, 1), ("b", 100, 1), ("a", 60_000, 1)], "user string, minute long, n long")
     cuts = spark.createDataFrame([("a", 60_000), ("b", 100)], "user string, cut long")
