@@ -41,7 +41,10 @@ class Bands:
 
     level: int = 3
     limits: tuple[tuple[float, float, float], ...] = (
-        (256, 0.0, 2.0),
+        (128, 0.50, 1.10),
+        (160, 0.48, 0.97),
+        (200, 0.46, 0.93),
+        (256, 0.44, 0.89),
         (512, 0.40, 0.95),
         (1024, 0.48, 0.85),
         (2048, 0.44, 0.80),

@@ -19,6 +19,7 @@ starts (u64); then the codes, most significant bit first, in big-endian words of
 Reading decodes the blocks of a segment side by side: one table look-up of as many bits as the longest code has gives each
 block its next id and the bits to go on by.
 
+An id is a long, or null; an id column of another type is cast, and a text that is no number stops the write.
 Null and empty texts have the end id only.  Repeated rows are documents like others.  An empty
 table gives no rows.  Other columns are not read.
 """
