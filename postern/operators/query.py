@@ -96,14 +96,23 @@ class Query:
         """All rows of the plan with all columns; an extension, also without filters."""
         return self._rows()
 
+    def _keys(self, rows: DataFrame) -> DataFrame:
+        """Distinct keys; those of a table of the namespace are distinct as they are stored."""
+        keys = rows.select(*self.schema.key)
+        return keys if self.namespace.managed(self.state) else keys.distinct()
+
     def ids_df(self) -> DataFrame:
-        return self._filtered().select(*self.schema.key).distinct().orderBy(*self.schema.key)
+        """All keys in order.  One exchange by ranges of the key serves to tell them apart and to sort them."""
+        keys = self._filtered().select(*self.schema.key)
+        if not self.namespace.managed(self.state):
+            keys = keys.repartitionByRange(*self.schema.key).distinct()
+        return keys.orderBy(*self.schema.key)
 
     def ids(self) -> list[Any]:
         """All keys, or QueryLimitError if there are more than the options allow."""
         most = self.namespace.options.result_items
         with self.namespace.metrics.timed("ids"):
-            rows = self.ids_df().limit(most + 1).collect()
+            rows = self._keys(self._filtered()).orderBy(*self.schema.key).limit(most + 1).collect()
         if len(rows) > most:
             raise QueryLimitError(f"more than {most} identifiers")
         keys = [self._key(r) for r in rows]
@@ -132,7 +141,7 @@ class Query:
     def id_page_df(self, size: int, after: Any = None) -> DataFrame:
         """The first `size` keys, or those behind `after`."""
         rows = self._filtered() if after is None else self._filtered().where(self._after(after))
-        return rows.select(*self.schema.key).distinct().orderBy(*self.schema.key).limit(size)
+        return self._keys(rows).orderBy(*self.schema.key).limit(size)
 
     def page(self, size: int | None = None, token: str | None = None) -> Page:
         size = self._page_size(size)
@@ -162,7 +171,7 @@ class Query:
 
     def _binding(self, family: str, ordering: str, size: int) -> Binding:
         query = fingerprint(self.plan, self.schema.fingerprint).hex()
-        policy = hashlib.sha256(repr((self.namespace.options, size)).encode()).hexdigest()[:16]
+        policy = hashlib.sha256(repr((self.namespace.options, size, self.namespace.layout.digest)).encode()).hexdigest()[:16]
         return Binding(self.namespace.name, family, query, ordering, self.namespace.epoch, policy)
 
     def _from_json(self, at: Any) -> Any:
@@ -241,21 +250,21 @@ class Query:
         state = pinned.namespace.data(self.state)
         data = state.where(F.col(index.column).isNotNull()).select(F.col(index.column).alias("value"), owner.alias("owner"))
         raw = data.groupBy("owner", "value").agg(F.count("*").alias("raw"))
-        # The number of owners is that of the whole state, also of those without a value of this index.
-        owners = state.select(F.count_distinct(owner).alias("owners"))
-        k = F.least(F.lit(page_size), F.greatest(F.lit(1), F.ceil(F.lit(top) / F.col("owners"))))
-        ranked = raw.withColumn("place", F.row_number().over(Window.partitionBy("owner").orderBy("value"))).crossJoin(F.broadcast(owners)).withColumn("k", k)
-        bound = ranked.agg(
-            F.coalesce(F.sum(F.when(F.col("place") > F.col("k"), F.col("raw"))), F.lit(0)).alias("u"),
-            F.coalesce(F.max(F.when(F.col("place") > F.col("k"), 1)), F.lit(0)).alias("cut"),
-        )
-        nominated = ranked.where("place <= k").select("value").distinct()
+        # The number of owners is that of the whole state, also of those without a value of this index.  It is
+        # asked for first, so that k is a literal and each task ranks only k values an owner.
+        owners = state.select(F.count_distinct(owner)).first()[0]
+        k = min(page_size, max(1, -(-top // max(1, owners))))
+        first = raw.withColumn("place", F.row_number().over(Window.partitionBy("owner").orderBy("value"))).where(F.col("place") <= k)
+        total = raw.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("records"), F.count("*").alias("pairs"))
+        named = first.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("named_records"), F.count("*").alias("named_pairs"))
+        bound = total.crossJoin(named).select((F.col("records") - F.col("named_records")).alias("u"), (F.col("pairs") > F.col("named_pairs")).alias("cut"))  # one row each
+        nominated = first.select("value").distinct()
         counts = pinned._values(index).groupBy("value").agg(F.count("*").alias("n")).join(nominated, "value", "left_semi")
-        # One row per nominated value, at most owners * k of them.
-        placed = counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "value")))
+        # The first top + 1 counts, by a top-n; only these are ranked in one place.
+        placed = counts.orderBy(F.desc("n"), "value").limit(top + 1).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "value")))
         ends = placed.agg(F.max(F.when(F.col("rank") == top, F.col("n"))).alias("last"), F.coalesce(F.max(F.when(F.col("rank") > top, F.col("n"))), F.lit(0)).alias("beyond"))
         known = bound.crossJoin(ends)  # one row with one row
-        proof = known.select(((F.col("cut") == 0) | F.coalesce(F.col("last") > F.col("u"), F.lit(False))).alias("is_exact"), F.greatest("u", "beyond").cast("long").alias("maximum_omitted"))
+        proof = known.select((~F.col("cut") | F.coalesce(F.col("last") > F.col("u"), F.lit(False))).alias("is_exact"), F.greatest("u", "beyond").cast("long").alias("maximum_omitted"))
         return placed.where(F.col("rank") <= top).crossJoin(F.broadcast(proof)).select("value", "n", "is_exact", "maximum_omitted")
 
     def approximate_counts(self, name: str, top: int, owner: Column) -> ValueCounts:
