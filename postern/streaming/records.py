@@ -2,7 +2,9 @@
 
 Batch forms are aggregates and windows over (account, generation).  reduce_mutations() is the exact
 fold where one event's fate depends on those before it: rows are dealt and sorted by account, and a
-task folds them as they stream by, holding the records of one account at a time.
+task folds them as they stream by, holding the records of one account at a time.  That order is part of its
+meaning, so one account is one task's work, however many events it has, and what an account has processed is
+remembered until its generation ends; use the batch forms where an account may be too large for that.
 """
 
 from __future__ import annotations

@@ -286,3 +286,13 @@ def test_entries_have_a_capacity(spark, tmp_path, monkeypatch):
         t.upsert(row("n", ["a", "b", "c"]))
     with pytest.raises(SchemaError):
         StateSchema.of("s" * 1025, "key", spark.createDataFrame([], kind))
+
+
+@pytest.mark.parametrize("sink", ["orc", "json"])
+def test_other_file_formats(spark, tmp_path, sink):
+    t = Table(spark, f"file://{tmp_path}/t", StateSchema.of("job", "key", frame(spark), city="hash", tags="hash"), sink=sink)
+    t.upsert(frame(spark, ("a", "Oslo", 1, ["x", "y"]), ("b", None, 2, None)))
+    t.compact()
+    t.upsert(frame(spark, ("a", "Rome", 3, [])))
+    t.remove(spark.createDataFrame([("b",)], "key string"))
+    assert [tuple(r) for r in t.current().collect()] == [("a", "Rome", 3, [])] and t.recover().version == 4
