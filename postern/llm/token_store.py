@@ -3,7 +3,7 @@
 Writing takes three steps, each a table in the shared folder, so a lost executor costs its tasks:
 
 1. documents are put in ascending order of doc_id (null first, then by a hash of the text) by a
-   range exchange, encoded, and written as segments of about `SEGMENT` ids, which know how many
+   range exchange that can also part equal rows, encoded, and written as segments of about `SEGMENT` ids, which know how many
    ids of their partition come before them;
 2. ids are counted over all segments, and the counts (no more than the vocabulary) give each id a
    code length of at most `LIMIT` bits by package-merge, and thereby its canonical code;
@@ -213,8 +213,9 @@ def segments(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """Rows part, seq, before (ids of the part before them), n_tokens, nulls, doc_ids, counts, ids, used and
     times (the distinct ids and how often each occurs); all but the first four are binary."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"), F.spark_partition_id().alias("p"))
+    # Equal rows can stand in any order, so many of them are dealt over several ranges by where they come from.
+    ordered = rows.repartitionByRange("doc_id", "h", "p").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, own = TaskContext.get().partitionId(), encoder(path)

@@ -118,3 +118,15 @@ def test_many_segments(spark, monkeypatch):
 
 def test_empty(none):
     assert ts.digests(none, PATH).count() == 0
+
+
+def test_equal_rows_are_dealt_over_ranges(spark):
+    df = spark.range(0, 4000, 1, 8).selectExpr("if(id % 2 = 0, 7, id) AS doc_id", "'the same text' AS text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        held = {r.part: len(r.nulls) for r in ts.segments(df, PATH).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(held.values()) == 4000 and max(held.values()) < 2000
+    got = sorted(ts.digests(df, PATH).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted([7] * 2000 + list(range(1, 4000, 2))) and all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:]))
