@@ -235,7 +235,8 @@ class Table:
     def _checked(self, expected: DataFrame, m: Manifest) -> None:
         """expected: key columns and etag (null: the key must not exist).  Any mismatch stops the whole write."""
         asked = expected.select(*self.schema.key, F.col("etag").alias("__expected"))
-        now = self.rows(m).select(*self.schema.key, F.col(ETAG).alias("__now"))
+        # Only the rows that are asked for go into the join; few keys are broadcast to the files.
+        now = self.rows(m).join(asked.select(*self.schema.key), list(self.schema.key), "left_semi").select(*self.schema.key, F.col(ETAG).alias("__now"))
         wrong = asked.join(now, list(self.schema.key), "left").where(~F.col("__expected").eqNullSafe(F.col("__now")))
         if wrong.limit(1).count():
             raise ConcurrentWriteError("a record is not at the version that the write expects")
