@@ -57,21 +57,27 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, windows: int = WIN
     known = known.select(F.col("lang").cast("string").alias("lang"), "doc_id", F.col("text").cast("string").cast("binary").alias("raw"))
 
     def least(rows: DataFrame, keys: list[str], sizes: DataFrame, quota: int) -> DataFrame:
-        """At most quota rows of each lang.  Over twice the quota by hash first, so that what is ranked is small however large a language is."""
+        """At most quota rows of each lang.
+
+        Over twice the quota by hash first, so that what is ranked is small however large a language is.  sizes
+        (lang, total) is a table, whose size Spark knows: it is broadcast if it is small, and rows meet it unshuffled.
+        """
         rate = F.floor(F.lit(scale * (2.0 * quota + 20)) / F.col("total")) + 1
         hashed = rows.join(sizes.withColumnRenamed("lang", "__lang"), F.col("lang") == F.col("__lang")).withColumn("h", F.pmod(F.xxhash64(*keys, F.lit(7)), F.lit(scale)))
         order = F.row_number().over(Window.partitionBy("lang").orderBy("h", *keys))
         return hashed.where(F.col("h") < rate).withColumn("n", order).where(F.col("n") <= quota).drop("__lang", "total", "h", "n")
 
-    chosen = least(known, ["doc_id", "raw"], known.groupBy("lang").agg(F.count("*").alias("total")), per_language)
-    chosen, path = written_at(chosen, "languages")
+    sizes, sizes_path = written_at(known.groupBy("lang").agg(F.count("*").alias("total")), "language-sizes")
+    chosen, path = written_at(least(known, ["doc_id", "raw"], sizes, per_language), "languages")
+    remove(docs.sparkSession, sizes_path)
     n_windows = F.ceil(F.octet_length("raw") / F.lit(WINDOW)).cast("int")
     cut = chosen.where(n_windows > 0).select("lang", "doc_id", "raw", F.explode(F.sequence(F.lit(0), n_windows - 1)).alias("at"))
     cut = cut.select("lang", "doc_id", "at", F.substring("raw", F.col("at") * WINDOW + 1, F.lit(WINDOW)).alias("part"))
-    sizes = chosen.groupBy("lang").agg(F.sum(n_windows).alias("total"))
+    sizes, sizes_path = written_at(chosen.groupBy("lang").agg(F.sum(n_windows).alias("total")).where("total > 0"), "language-sizes")
     quota = max(1, min(windows, most // max(1, sizes.count())))
-    rows = least(cut, ["doc_id", "at", "part"], sizes.where("total > 0"), quota).select("part", "lang").collect()
-    remove(docs.sparkSession, path)
+    rows = least(cut, ["doc_id", "at", "part"], sizes, quota).select("part", "lang").collect()
+    for used in (sizes_path, path):
+        remove(docs.sparkSession, used)
     return sorted((bytes(r["part"]), r["lang"]) for r in rows)
 
 
