@@ -24,6 +24,8 @@ number at most 2**22 whatever the corpus, which bounds what a task holds.  Every
 verified by counting differing bits.  The edges form a forest per task; components are then found
 by alternating star contraction over written tables.
 
+near_dedup does the same at a similarity of 0.8, with longer fingerprints and balls around bands of them.
+
 A text without words has fingerprint zero and is linked like any other.  Null ids take part in the
 links, and a component without any id gets a null component_id.  Every input row gives one output
 row.  Other columns are not read.
