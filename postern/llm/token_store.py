@@ -107,20 +107,16 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _learn(self, new: set[str]) -> None:
-        known, marked, words = self.known, [], set()
-        for p in new:
-            if p[-1] in self.marks and len(p) > 1 and p[-2] < "\u0250" and p[-2].isalpha():
-                marked.append(p)
-                if p[:-1] not in known:
-                    words.add(p[:-1])
-            else:
-                words.add(p)
-        joined, plain = [], []
-        for p in words:
-            if len(p) > self.LONGEST or p.isspace():
+        known, longest = self.known, self.LONGEST
+        marked = [p for p in new if p[-1] in ",." and len(p) > 1 and p[-2] < "\u0250" and p[-2].isalpha()]
+        words = new.difference(marked) | {p[:-1] for p in marked}.difference(known)
+        # Keys of letters only, as far as the vocabulary's own letters go.
+        near = [p for p in words if p.isascii() or max(p) < "\u0250"] if self.apart is not None else []
+        plain = [p for p in near if (p.isalpha() or (p[0] == "\n" and p[1:].isalpha())) and len(p) <= longest]
+        joined = []
+        for p in words.difference(plain):
+            if len(p) > longest or p.isspace():
                 known[p] = self._alone(p[1:] if p[0] == "\n" else " " + p)
-            elif self.apart is not None and max(p) < "\u0250" and (p[1:] if p[0] == "\n" else p).isalpha():
-                plain.append(p)
             else:
                 joined.append(p)
         w = self.kind.itemsize
@@ -151,7 +147,7 @@ class Encoder:
 
     def _pieces(self, text: str) -> list[str]:
         """Keys of the text's pieces."""
-        if not any(x in text for x in _UNUSUAL) and text[0] not in " \n" and text[-1] not in " \n":
+        if not any(map(text.__contains__, _UNUSUAL)) and text[0] not in " \n" and text[-1] not in " \n":
             out = text.split(" ")
             if "\n" in text:
                 out = text.replace("\n", " \n\n \n").split(" ")
@@ -174,13 +170,13 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         get, waiting, new = self.known.get, [], set()
         for i, t in enumerate(texts):
-            if not self.bytewise or any(a in t for a in self.added):
+            if not self.bytewise or any(map(t.__contains__, self.added)):
                 out[i] = self._alone(t)
             elif t:
                 pieces = self._pieces(t)
                 found = list(map(get, pieces))
-                if None in found:
-                    gaps = [k for k, b in enumerate(found) if b is None]
+                gaps = [k for k, b in enumerate(found) if b is None]
+                if gaps:
                     new.update([pieces[k] for k in gaps])
                     waiting.append((i, found, gaps, [pieces[k] for k in gaps]))
                 else:
