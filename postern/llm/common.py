@@ -50,6 +50,11 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def settled(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that have ended: it does so when the driver's JVM collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_hash(df: DataFrame) -> Column:
     """A hash of all columns of a row, 64 bits; maps and variants, which have none, count as their text."""
     quoted = [(F.col(f"`{c.replace('`', '``')}`"), t) for c, t in df.dtypes]
