@@ -49,6 +49,30 @@ def test_encoder_forgets_and_stays_right():
         assert [np.frombuffer(b, own.kind).tolist() for b in own.encode(texts)] == [direct(t) for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["word", "é", "½", "7", "漢", "ʰ", "'s", "'", "!", "?!", ")", "_", "$$$", "...", " ", "\n", "  ", "<|endoftext|>"]), max_size=14).map("".join), max_size=5))
+def test_marks_behind_words(texts):
+    own = ts.Encoder(PATH)
+    for _ in range(2):
+        assert [np.frombuffer(b, own.kind).tolist() for b in own.encode(texts)] == [direct(t) for t in texts]
+
+
+def test_pieces_are_looked_up_once_and_words_learned_without_marks():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *args):
+            self.asked += 1
+            return super().get(*args)
+
+    own = ts.Encoder(PATH)
+    own.known = Counting()
+    texts = ["so a word\nand a word! word?! 12) word$$$ ünd!"] * 40
+    assert [np.frombuffer(b, own.kind).tolist() for b in own.encode(texts)] == [direct(t) for t in texts]
+    assert own.known.asked == 10
+    assert {"word", "12", "ünd", "\n!", "\n?!", "\n)", "\n$$$"} <= own.known.keys()
+
+
 def huffman_cost(counts):
     heap, cost = list(counts), 0
     heapq.heapify(heap)
