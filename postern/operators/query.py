@@ -159,10 +159,42 @@ class Query:
         yield page
         while page.token:
             if rounds == self.namespace.options.rounds:
-                raise QueryLimitError(f"more than {rounds} pages; go on from the last page's token")
+                raise QueryLimitError(f"more than {rounds} pages; go on from the last page's token, or by walk_df(), which has no such limit")
             page, rounds = self.page(size, page.token), rounds + 1
             yield page
 
+    def walk_df(self, folder: str, size: int | None = None) -> DataFrame:
+        """All keys, with page (from 0) and token: the pages that pages() would give without a ceiling, read once.
+
+        token is the sealed one that leads to the page, null for the first; a page's keys lie behind the position
+        that its token opens to, or the result fails.  Unlike other DataFrame forms this one runs when it is called:
+        it sorts the keys into files below `folder`, which driver and executors share and which must stay while the
+        result is in use.  A key's place is that in its file and the rows of the files before.  The driver holds
+        a key and a token for each page, and a count for each file.
+        """
+        size, names, spark = self._page_size(size), self.schema.key, self.namespace.spark
+        binding, tokens = self._binding("ids", ",".join(names), size), self.namespace.tokens
+        # The upper bits of the id are the number of the partition, and partitions are in the order of the keys.
+        keys = self.ids_df().select(F.struct(*names).alias("key"), F.monotonically_increasing_id().alias("at"))
+        keys.write.parquet(f"{folder}/keys")
+        stored = spark.read.schema(keys.schema).parquet(f"{folder}/keys").select("key", F.shiftright("at", 33).alias("file"), F.col("at").bitwiseAND((1 << 33) - 1).alias("row"))
+        before, total = [], 0
+        for file, n in sorted(stored.groupBy("file").agg(F.count("*").alias("n")).collect()):
+            before.append((file, total))
+            total += n
+        place = stored.join(F.broadcast(spark.createDataFrame(before, "file long, before long")), "file").select("key", (F.col("before") + F.col("row")).alias("place"))  # one row a file
+        placed = place.select("key", "place", F.expr(f"place div {size}").alias("page"))
+        starts = []
+        for last in placed.where((F.col("place") % size == size - 1) & (F.col("place") < total - 1)).select("key", "page").collect():
+            token = tokens.protect(binding, _to_json(self._key(last["key"])))
+            after = self._from_json(tokens.unprotect(token, binding))
+            starts.append((last["page"] + 1, token, after if len(names) > 1 else (after,)))
+        kinds = T.StructType().add("page", T.LongType()).add("token", T.StringType()).add("after", keys.schema["key"].dataType)
+        walked = placed.drop("place").join(spark.createDataFrame(starts, kinds), "page", "left")
+        behind = (F.col("page") == 0) | (F.col("key") > F.col("after"))
+        checked = F.when(behind, F.col("key")).otherwise(F.raise_error(F.lit("a key of a page is not behind the page's token")))
+        return walked.select(checked.alias("key"), "page", "token").select("key.*", "page", "token")
+
     def _page_size(self, size: int | None) -> int:
         size = self.namespace.options.page_size if size is None else size
         if not 1 <= size <= 1024:

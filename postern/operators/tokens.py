@@ -12,6 +12,7 @@ import base64
 import json
 import os
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
@@ -60,12 +61,16 @@ class TokenCodec:
     def _aad(self, key_id: str) -> bytes:
         return f"postern-token-{VERSION}/{key_id}".encode()
 
+    @cached_property
+    def _java(self) -> tuple[Any, Any, Any, Any, Any]:
+        """The cipher, its two modes and the kinds of its arguments; each look-up of a name asks the Java machine."""
+        crypto = self.spark.sparkContext._jvm.javax.crypto
+        return crypto.Cipher, crypto.Cipher.ENCRYPT_MODE, crypto.Cipher.DECRYPT_MODE, crypto.spec.SecretKeySpec, crypto.spec.GCMParameterSpec
+
     def _cipher(self, encrypt: bool, key_id: str, nonce: bytes) -> Any:
-        java = self.spark.sparkContext._jvm
-        modes = java.javax.crypto.Cipher
+        modes, seal, unseal, key_spec, nonce_spec = self._java
         cipher = modes.getInstance("AES/GCM/NoPadding")
-        key = java.javax.crypto.spec.SecretKeySpec(bytearray(self.ring.keys[key_id]), "AES")
-        cipher.init(modes.ENCRYPT_MODE if encrypt else modes.DECRYPT_MODE, key, java.javax.crypto.spec.GCMParameterSpec(128, bytearray(nonce)))
+        cipher.init(seal if encrypt else unseal, key_spec(bytearray(self.ring.keys[key_id]), "AES"), nonce_spec(128, bytearray(nonce)))
         cipher.updateAAD(bytearray(self._aad(key_id)))
         return cipher
 

@@ -402,11 +402,8 @@ def id_page_composite_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT o_orderkey FROM orders WHERE o_totalprice > 400000")
 def walked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages of a query, each continued by the last one's sealed token."""
-    ns = space(spark, sf_dir, "order")
-    query = ns.query("order").where(P.o_totalprice > 400_000.0)
-    keys = [(k,) for page in query.pages(1024) for k in page.items]
-    return spark.createDataFrame(keys, f"o_orderkey {query.schema.struct['o_orderkey'].dataType.simpleString()}")
+    """All pages of a query, however many, each behind the position that the last one's sealed token holds."""
+    return _orders(spark, sf_dir).where(P.o_totalprice > 400_000.0).walk_df(_scratch(spark), 1024).select("o_orderkey")
 
 
 # --- hydration -----------------------------------------------------------------------------------

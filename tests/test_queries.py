@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from postern import workload
 from postern.errors import ArgumentRangeError, InvalidArgumentError, InvalidContinuationError, QueryLimitError, SchemaError, StaleContinuationError, UnsupportedQueryError
 from postern.limits import QueryOptions
 from postern.operators import hydrate
@@ -258,3 +259,45 @@ def test_a_facet_reads_one_version(spark, tmp_path):
         Table.manifest = real
     assert data_reads <= 3  # whether the schema is active, twice, and the one version that is read
     assert sorted((r.value, r.n) for r in answer.collect()) == [("Oslo", 1), ("Rome", 1)]
+
+
+def test_a_walk_has_no_ceiling(spark, tmp_path):
+    """More pages than rounds, over keys of several columns with repeats and a null; each token leads to its page."""
+    rows = [(i // 9, None if i == 4 else f"k{i % 9}") for i in range(100)]
+    data = spark.createDataFrame(rows * 2, "a long, b string").withColumn("v", F.lit(1)).repartition(7)
+    ns = Namespace(spark, "n", options=QueryOptions(rounds=3))
+    ns.bind(StateSchema.of("s", ("a", "b"), data, v="range"), data)
+    query = ns.query("s").where(P.v >= 1)
+    with pytest.raises(QueryLimitError):
+        list(query.pages(8))
+    found = sorted((r.page, r.a, r.b or "", r.token) for r in query.walk_df(f"file://{tmp_path}/w", 8).collect())
+    assert [(a, b) for _, a, b, _ in found] == sorted((a, b or "") for a, b in rows)
+    assert [page for page, *_ in found] == [i // 8 for i in range(100)]
+    tokens = {page: token for page, *_, token in found}
+    assert tokens[0] is None and len(set(tokens.values())) == 13
+    for page in (1, 6, 12):
+        assert query.page(8, tokens[page]).items == [(a, b) for p, a, b, _ in found if p == page]
+    assert query.page(8, tokens[12]).token is None
+    # Whole pages leave no token to an empty one; nothing found is no page.
+    exact = ns.query("s").where(P.v >= 1).walk_df(f"file://{tmp_path}/x", 10)
+    assert exact.agg(F.count_distinct("page"), F.count_distinct("token")).first()[:] == (10, 9)
+    assert ns.query("s").where(P.v > 1).walk_df(f"file://{tmp_path}/y", 10).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["string", "binary", "date", "timestamp", "decimal(20,3)", "double", "int"])
+def test_a_walk_takes_keys_of_any_type(spark, tmp_path, kind):
+    number = F.col("id").cast("int")
+    key = {"string": F.concat(F.lit("\u00e9"), "id"), "binary": F.encode(F.col("id").cast("string"), "utf-8"), "date": F.date_add(F.lit("2024-01-01").cast("date"), number)}.get(kind, F.col("id").cast(kind))
+    data = spark.range(50).select(key.alias("page"), F.lit(1).alias("v"))  # a key may have the name of a column of the walk
+    ns = Namespace(spark, "n")
+    ns.bind(StateSchema.of("s", "page", data, v="range"), data)
+    walked = ns.query("s").where(P.v == 1).walk_df(f"file://{tmp_path}/w", 7).toDF("k", "page", "token")
+    assert [r[0] for r in walked.orderBy("page", "k").collect()] == ns.query("s").where(P.v == 1).ids()
+    assert walked.agg(F.count_distinct("page")).first()[0] == 8
+
+
+def test_walked_pages_goes_beyond_the_rounds(spark, tmp_path):
+    most = QueryOptions().rounds * 1024
+    spark.range(most + 5000).selectExpr("id AS o_orderkey", "'F' AS o_orderstatus", "'1-URGENT' AS o_orderpriority", "id AS o_custkey", "400000D + id AS o_totalprice", "timestamp'2024-01-01' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    got = workload.walked_pages(spark, str(tmp_path)).agg(F.count("*"), F.count_distinct("o_orderkey"), F.min("o_orderkey"), F.max("o_orderkey")).first()
+    assert got[:] == (most + 4999, most + 4999, 1, most + 4999)
